@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import day_text, table
 from tidemark.operators.implausible import Bounds, implausible_readings
+from tidemark.operators.panel_impute import FILL_MAGNITUDE, MISSING_NUMBERS, fill_panel
 from tidemark.operators.regular_grid import regular_grid
 from tidemark.operators.rolling_totals import rolling_totals
 
@@ -55,6 +56,34 @@ SELECT symbol, win_days, strftime(d, '%Y-%m-%d') AS bar_day, CAST(total AS DOUBL
 """
 
 
+# The panel's real names.
+PANEL_NAMES = ("GDP_growth", "PMI", "jobless_claims", "cpi_yoy", "retail_turnover", "credit_spread")
+
+
+def _filled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_panel(table(spark, sf_dir, "panel"), valid_name="^(" + "|".join(PANEL_NAMES) + ")$")
+
+
+def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the panel with its missing cells filled and marked."""
+    return _filled_panel(spark, sf_dir).withColumnsRenamed({"row_id": "obs_id", "entity": "entity_id"})
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that were filled."""
+    marks = F.array(*[F.when(F.col(f"{c}_filled"), f) for c, f in (("entity", "entity_id"), ("name", "name"), ("value", "value"))])
+    return _filled_panel(spark, sf_dir).select(F.col("row_id").alias("obs_id"), F.explode(F.array_compact(marks)).alias("field"))
+
+
+P2_FOUND_SQL = f"""
+WITH c AS (
+  SELECT obs_id, regexp_replace(entity_id, '^\\s+|\\s+$', '', 'g') AS e, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS m, value AS v FROM panel)
+SELECT obs_id, 'entity_id' AS field FROM c WHERE NOT coalesce(regexp_full_match(e, 'N[A-Z]{{4}}'), false)
+UNION ALL SELECT obs_id, 'name' FROM c WHERE NOT coalesce(m IN {PANEL_NAMES}, false)
+UNION ALL SELECT obs_id, 'value' FROM c WHERE v IS NULL OR isnan(v) OR abs(v) >= {FILL_MAGNITUDE} OR v IN {MISSING_NUMBERS}
+"""
+
+
 def implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags of quotes.close and series_profile.outlier_fraction with kind and score."""
     quotes = implausible_readings(table(spark, sf_dir, "quotes"), "symbol", "ts", "close", "reading_id", Bounds(0.0, True), log_scale=True)
@@ -110,5 +139,5 @@ SELECT window_id, symbol, (s + i * g) // 1000000 AS slot_epoch, n_readings,
 FROM filled LEFT JOIN first_t USING (window_id)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_rolling_totals": p1_rolling_totals, "p4_found": p4_found, "p4_flags": p4_flags, "p5_found": p5_found, "p5_grid": p5_grid}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p1_rolling_totals": P1_ALL_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL}
+QUERIES = {"p1_found": p1_found, "p1_rolling_totals": p1_rolling_totals, "p2_found": p2_found, "p2_filled": p2_filled, "p4_found": p4_found, "p4_flags": p4_flags, "p5_found": p5_found, "p5_grid": p5_grid}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p1_rolling_totals": P1_ALL_SQL, "p2_found": P2_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL}
