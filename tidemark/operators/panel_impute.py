@@ -71,12 +71,19 @@ def _fill(rows: DataFrame, fields: tuple[str, ...], target: str) -> DataFrame:
 
 
 def _missing_numbers(rows: DataFrame) -> DataFrame:
-    """Adds v: the number, NULL if it is a fill value. A code counts as one if 20 interquartile ranges off its series' median."""
+    """Adds v: the number, NULL if it is a fill value.
+
+    A code counts as one if it lies 5 interquartile ranges off the median of the series' other numbers; of the name's, in a
+    series that holds only codes; and always if there are no others.
+    """
     plain = F.when(F.abs("raw") < FILL_MAGNITUDE, F.col("raw"))
-    rows = rows.withColumn("plain", plain)
-    spread = rows.where(F.col("plain").isNotNull()).groupBy("series").agg(F.percentile_approx("plain", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"))
-    coded = F.col("plain").isin(*MISSING_NUMBERS) & (F.abs(F.col("plain") - F.col("q")[1]) > 20 * (F.col("q")[2] - F.col("q")[0]))
-    return rows.join(spread, "series", "left").withColumn("v", F.when(~coded, F.col("plain"))).withColumn("value_filled", F.col("v").isNull()).drop("q", "plain")
+    rows = rows.withColumn("plain", plain).withColumn("is_code", F.col("plain").isin(*MISSING_NUMBERS))
+    quartiles = F.percentile_approx("plain", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000)
+    others = rows.where(F.col("plain").isNotNull() & ~F.col("is_code"))
+    of_series, of_name = others.groupBy("series").agg(quartiles.alias("q")), others.groupBy("name").agg(quartiles.alias("q_name"))
+    rows = rows.join(of_series, "series", "left").join(of_name, "name", "left").withColumn("q", F.coalesce("q", "q_name"))
+    coded = F.col("is_code") & F.coalesce(F.abs(F.col("plain") - F.col("q")[1]) > 5 * (F.col("q")[2] - F.col("q")[0]), F.lit(True))
+    return rows.withColumn("v", F.when(~coded, F.col("plain"))).withColumn("value_filled", F.col("v").isNull()).drop("q", "q_name", "plain", "is_code")
 
 
 def _fill_values(rows: DataFrame) -> DataFrame:
