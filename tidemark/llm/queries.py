@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.event_runs import event_runs
+from tidemark.llm.leaks import leaked_items
 from tidemark.llm.splitting import split_texts
 from tidemark.model import table
 
@@ -80,5 +81,10 @@ SELECT symbol, any_value(label) AS regime, strftime(min(ts), '%Y-%m-%d') AS star
   date_diff('day', min(ts), max(ts)) + 1 AS duration_days FROM numbered GROUP BY symbol, run
 """
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_runs": p6_runs}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items that leaked into them."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found}
 ORACLES = {"p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_runs": P6_RUNS_SQL}
