@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.event_runs import event_runs
 from tidemark.llm.leaks import leaked_items
+from tidemark.llm.mixing import in_order, mix_sources
 from tidemark.llm.splitting import split_texts
 from tidemark.model import table
 
@@ -86,5 +87,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found}
+def p8_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with repeats, in order of virtual finish time."""
+    mixture = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return in_order(mixture).select(F.col("doc").alias("doc_id"), "source", "copy", "tokens", F.round("finish", 3).alias("finish"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's target and actual share."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share."""
+    return p8_shares(spark, sf_dir).where(~F.col("reachable")).select("source")
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p8_found": p8_found, "p8_chosen": p8_chosen, "p8_shares": p8_shares}
 ORACLES = {"p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_runs": P6_RUNS_SQL}
