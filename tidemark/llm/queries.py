@@ -9,6 +9,7 @@ from tidemark.llm.event_runs import event_runs
 from tidemark.llm.leaks import leaked_items
 from tidemark.llm.mixing import in_order, mix_sources
 from tidemark.llm.splitting import split_texts
+from tidemark.llm.toxicity import rates, score_documents
 from tidemark.model import table
 
 DAY_US = 86_400_000_000
@@ -103,5 +104,24 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_shares(spark, sf_dir).where(~F.col("reachable")).select("source")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p8_found": p8_found, "p8_chosen": p8_chosen, "p8_shares": p8_shares}
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "toxicity_labels"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score."""
+    return _scored(spark, sf_dir).withColumnRenamed("doc", "doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of flagged documents per source."""
+    return rates(_scored(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged documents."""
+    return _scored(spark, sf_dir).where("flagged").select(F.col("doc").alias("doc_id"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p8_found": p8_found, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 ORACLES = {"p3_found": P3_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_runs": P6_RUNS_SQL}
