@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.plans import dealt
+from tidemark.plans import alignment, dealt, ordering
 
 
 def queries() -> dict:
     """Name to function of (spark, folder)."""
-    return {**dealt.QUERIES}
+    return {**alignment.R.queries, **ordering.R.queries, **dealt.QUERIES}
 
 
 def oracles() -> dict[str, str]:
     """Name to SQL over the views of the tables."""
-    return {**dealt.ORACLES}
+    return {**alignment.R.oracles, **ordering.R.oracles, **dealt.ORACLES}
