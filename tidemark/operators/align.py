@@ -53,7 +53,8 @@ def resample_quarters(series: DataFrame, how: str = "last", targets: DataFrame |
         inside = inside.fillna(0.0, ["value"])
     if targets is None:
         return inside
-    wanted = span.select("series_id").crossJoin(F.broadcast(targets.select("quarter").distinct()))  # target dates: a stated list
+    dates = targets.agg(F.collect_set("quarter").alias("dates"))  # one row; target dates are as many as there are quarters
+    wanted = span.select("series_id").crossJoin(F.broadcast(dates)).select("series_id", F.explode("dates").alias("quarter"))
     return wanted.join(inside, ["series_id", "quarter"], "left")
 
 
@@ -135,6 +136,8 @@ def regime_share_by_week(labels: DataFrame, names: tuple[str, ...]) -> DataFrame
 def coverage(series: DataFrame, targets: DataFrame) -> DataFrame:
     """series_id, n, nulls, first_day, last_day, freq, quarters_before, quarters_after: how a series covers the target quarters."""
     facts = series.groupBy("series_id").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.min("ts").alias("first_day"), F.max("ts").alias("last_day"))
-    dates = F.broadcast(targets.select("quarter").distinct())
-    edges = facts.crossJoin(dates).groupBy("series_id").agg(F.count_if(F.col("quarter") < F.col("first_day")).alias("quarters_before"), F.count_if(F.col("quarter") > F.col("last_day")).alias("quarters_after"))
-    return facts.join(edges, "series_id").join(frequency_class(series), "series_id", "left")
+    dates = targets.agg(F.collect_set("quarter").alias("dates"))  # one row
+    before = F.size(F.filter("dates", lambda d: d < F.col("first_day"))).cast("long")
+    after = F.size(F.filter("dates", lambda d: d > F.col("last_day"))).cast("long")
+    edged = facts.crossJoin(F.broadcast(dates)).withColumn("quarters_before", before).withColumn("quarters_after", after).drop("dates")
+    return edged.join(frequency_class(series), "series_id", "left")
