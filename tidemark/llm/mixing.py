@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import broadcast_bounded, cut_lineage
 
 #: Byte-level BPE ranks of a public tokenizer, and its published pattern.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -105,7 +105,7 @@ def mix_sources(
     lanes = spark.createDataFrame(rows, "source string, weight double, repeats int, stock long, rounds int, buckets int")
 
     queue = (
-        sized.where("tokens > 0").join(F.broadcast(lanes.where("rounds > 0")), "source")  # as few rows as target sources
+        sized.where("tokens > 0").join(broadcast_bounded(lanes.where("rounds > 0"), 100_000), "source")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
         .withColumn("draw", F.xxhash64("doc", "copy", F.lit(seed))).withColumn("bucket", F.pmod("draw", "buckets"))
     )

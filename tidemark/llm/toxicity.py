@@ -321,12 +321,24 @@ def word_lines(text: str, seen: dict[str, list[int]]) -> list[list[int]]:
     return out
 
 
+def drawn_ids(ids: DataFrame, most: int) -> DataFrame:
+    """At most that many of the ids (column doc), those of lowest hash: the same ones however the rows are partitioned.
+
+    A threshold on the hash, twice as wide as needed, leaves little to sort whatever the number of partitions.
+    """
+    total = ids.count()
+    share = F.pmod(F.xxhash64("doc"), F.lit(1 << 30))
+    if total > 4 * most:
+        ids = ids.where(share < int((1 << 30) * 2 * most / total))
+    return ids.orderBy(share, "doc").limit(most)
+
+
 def background_sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, max_docs: int) -> list[list[int]]:
     """Distinct lines of at most max_docs documents (drawn by hash of the id) without any label."""
     texts = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where("text <> '' and doc is not null")
-    free = texts.join(labels.select(F.col(doc_id).alias("doc")).distinct(), "doc", "left_anti").orderBy(F.xxhash64("doc")).limit(max_docs)
+    free = drawn_ids(texts.select("doc").join(labels.select(F.col(doc_id).alias("doc")).distinct(), "doc", "left_anti"), max_docs)
     seen: dict[str, list[int]] = {}
-    for row in free.collect():
+    for row in texts.join(F.broadcast(free), "doc").collect():  # at most max_docs rows, but for repeated ids
         word_lines(row.text, seen)
     return [seen[k] for k in sorted(seen) if seen[k]]
 
@@ -336,8 +348,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, doc_id: str, text:
     votes = (
         labels.select(F.col(doc_id).alias("doc"), F.lower(F.trim(F.col(label).cast("string"))).alias("label")).where("doc is not null and label is not null and label <> ''")
         .groupBy("doc").agg(F.collect_set("label").alias("kinds"), F.count(F.lit(1)).alias("votes")).where("not (array_contains(kinds, 'none') and size(kinds) > 1)")
-        .orderBy(F.xxhash64("doc")).limit(max_docs)
     )
+    votes = votes.join(F.broadcast(drawn_ids(votes.select("doc"), max_docs)), "doc")
     texts = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text <> ''")
     seen: dict = {}
     out = []
