@@ -10,9 +10,11 @@ all documents and remembers lines it has seen, since notebooks repeat them.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,6 +32,8 @@ CHUNK, STEP = 48, 40
 HIDDEN = 0.08
 #: Logit under which an unlabelled line is taken for clean.
 QUIET = -1.0
+#: Log odds of a word between guilty and clean documents from which it may make a line guilty.
+TELLING = 1.5
 
 DATA_BLOB = re.compile(r"[A-Za-z0-9+/=_-]{80,}")
 NUMBER = re.compile(r"(?<![A-Za-z@$0-9])[0-9][0-9.,:]*(?![A-Za-z@$0-9])")
@@ -168,8 +172,8 @@ def fit_lines(ids: list[list[int]], target: np.ndarray, weight: np.ndarray, seed
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
     step = 0
     for epoch in range(epochs):
-        drawn = np.concatenate([rng.choice(positive, max(len(positive), 1024)), rng.choice(negative, min(4096, max(len(negative), 1024)))])
-        if epoch:
+        drawn = np.concatenate([rng.choice(positive, max(len(positive), 1024)), rng.choice(negative, min(6144, max(len(negative), 1024)))])
+        if epoch % 2:
             # The clean lines that still look worst, beside the random ones.
             some = rng.choice(negative, min(len(negative), 8_000), replace=False)
             logits = np.concatenate([net.forward(table[some[lo : lo + 2048]])[0] for lo in range(0, len(some), 2048)]).max(axis=1)
@@ -200,7 +204,7 @@ class Labelled:
     language: str
 
 
-def _train(docs: list[Labelled], background: list[list[int]], seed: int, rounds: int = 2, epochs: int = 8) -> Network:
+def _train(docs: list[Labelled], background: list[list[int]], seed: int, rounds: int = 3, epochs: int = 6) -> Network:
     """Alternate choosing the guilty lines of labelled documents and fitting the network.
 
     background: lines of documents nobody labelled. From the second round on, those that don't look guilty count as clean,
@@ -218,8 +222,10 @@ def _train(docs: list[Labelled], background: list[list[int]], seed: int, rounds:
     odds[count[1] < 2] *= 0.5
     suspicion = lambda line: float(np.sort(np.maximum(odds[list(set(line))], 0))[-4:].sum()) if line else 0.0
     net = None
-    innocent = list({tuple(line): line for d in clean for line in d.lines}.values())
-    known = {tuple(line) for line in innocent}
+    often = Counter(tuple(line) for d in clean for line in d.lines)
+    known = set(often)
+    # A line of many clean documents is worth more rows than one of a single document.
+    innocent = [list(line) for line, n in often.items() for _ in range(int(math.log2(1 + n)))]
     for k in range(rounds):
         lines = list(innocent)
         if net is not None and background:
@@ -228,7 +234,10 @@ def _train(docs: list[Labelled], background: list[list[int]], seed: int, rounds:
             count[0] += np.bincount([w for line, q in zip(background, quiet, strict=True) if q for w in set(line)], minlength=BUCKETS)
         target = [np.zeros(len(KINDS))] * len(lines)
         for d in guilty:
-            open_lines = [line for line in d.lines if tuple(line) not in known] or d.lines
+            # Only a line with a telling word can be the guilty one; a document without any teaches nothing.
+            open_lines = [line for line in d.lines if tuple(line) not in known and line and odds[line].max() >= TELLING]
+            if not open_lines:
+                continue
             if net is None:
                 score = np.array([suspicion(line) for line in open_lines])
             else:
@@ -295,7 +304,7 @@ def fit_classifier(docs: list[Labelled], background: list[list[int]], seed: int
         where = np.flatnonzero(truth == value)
         fold[where] = np.arange(len(where)) % folds
     for k in range(folds):
-        other = _train([d for d, f in zip(docs, fold, strict=True) if f != k], background, seed + 100 * (k + 1), epochs=6)
+        other = _train([d for d, f in zip(docs, fold, strict=True) if f != k], background, seed + 100 * (k + 1), epochs=5)
         mine = np.flatnonzero(fold == k)
         score[mine] = _doc_scores(other, [docs[i] for i in mine])
     usual = _best_threshold(score, truth)
@@ -361,7 +370,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, doc_id: str, text:
 
 
 def score_documents(
-    documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "label", max_docs: int = 4000, max_background: int = 1500, seed: int = 11
+    documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "label", max_docs: int = 4000, max_background: int = 3000, seed: int = 11
 ) -> DataFrame:
     """doc, source, language, abuse, hate, sexual (probabilities of the worst line), score (worst logit over the threshold), flagged.
 
