@@ -156,7 +156,7 @@ class Fit:
         p = self.path["pf"].copy()
         for i in range(n - 2, -1, -1):
             ahead = self.path["p"][i + 1]
-            gain = np.linalg.solve(ahead.T + 1e-12 * np.eye(len(ahead)), (self.path["pf"][i] @ t.T).T).T
+            gain = self.path["pf"][i] @ t.T @ np.linalg.pinv(ahead, hermitian=True)
             out[i] = out[i] + gain @ (out[i + 1] - self.path["a"][i + 1])
             p[i] = p[i] + gain @ (p[i + 1] - ahead) @ gain.T
         return out

@@ -22,6 +22,9 @@ from tidemark.model import epoch_us, usable
 SCHEMA = "source string, kind string, t long, v double, score double, share double, n long, runs long, runs2 long, runs3 long"
 #: A value that makes up more than this share of a block is its resting value; its runs don't count for the repetition rate.
 RESTING_SHARE = 0.3
+PRIOR_RUNS = 10
+#: A run of more than this share of a source's readings is no fault but the source's normal state.
+NORMAL_STATE = 0.9
 
 
 @dataclass(frozen=True)
@@ -87,8 +90,12 @@ def _judge(log_scale: bool, half: int, loose_z: float, loose_run: float, least_r
 
 
 def repetition_rate(runs: int, runs2: int, runs3: int) -> float:
-    """How likely a value repeats, read off the shares of runs of at least two and three, which a few stuck runs don't move."""
-    return min(max(runs2 / max(runs, 1), (runs3 + 0.5) / (runs2 + 1), 0.01), 0.98)
+    """How likely a value repeats: the greater of the shares of runs that reach two and, of those, three values.
+
+    Counting runs and not values, a few stuck runs hardly move it; the second share is drawn to the first by PRIOR_RUNS runs.
+    """
+    first = runs2 / max(runs, 1)
+    return min(max(first, (runs3 + PRIOR_RUNS * first) / (runs2 + PRIOR_RUNS), 0.01), 0.98)
 
 
 def implausible_readings(
@@ -100,7 +107,7 @@ def implausible_readings(
     score: for spikes the distance from the rolling median in robust scales, for stuck values the run's length. Copies of a
     reading (same source, time and value) are judged once and flagged together. NULL and NaN are never flagged, break no
     run and are no neighbours; rows without source or time are only held against the bounds. An empty table, a source with
-    one reading and a constant source give no spikes; ties in time are ordered by value. A row may appear under two kinds.
+    one reading and a constant source give no flags; ties in time are ordered by value. A row may appear under two kinds.
     least_scale is a floor under a source's scale, for sources that hardly move. log_scale needs bounds that exclude values <= 0. Blocks of about block_rows readings have margins of a fourth on either
     side; a run is followed at most that far across a block's border, further than any threshold.
     """
@@ -127,13 +134,15 @@ def implausible_readings(
     found = spread.groupBy("source", "block").applyInArrow(judge, SCHEMA)
     whole = W.partitionBy("source")
     share = lambda c: F.sum(c).over(whole)
-    p = F.least(F.lit(0.98), F.greatest(F.lit(0.01), share("runs2") / F.greatest(F.lit(1), share("runs")), (share("runs3") + 0.5) / (share("runs2") + 1)))
+    first = share("runs2") / F.greatest(F.lit(1), share("runs"))
+    p = F.least(F.lit(0.98), F.greatest(F.lit(0.01), first, (share("runs3") + PRIOR_RUNS * first) / (share("runs2") + PRIOR_RUNS)))
     judged = (
         found.withColumn("scale", F.greatest(F.lit(least_scale), share(F.when(F.col("kind") == "stat", F.col("score") * F.col("n"))) / share("n")))
         .withColumn("p", F.least(F.lit(0.98), F.greatest(p, F.coalesce("share", F.lit(0.0)))))
         .withColumn("longest", F.log(F.greatest(F.lit(2.0), share("n") * (1 - F.col("p")))) / F.log(1 / F.col("p")))
+        .withColumn("most", NORMAL_STATE * share("n"))
         .where("kind <> 'stat'")
-        .where(F.expr(f"(kind = 'spike' and score > {spike_z} * scale) or (kind = 'stuck' and score >= greatest({least_run}, {run_ratio} * longest))"))
+        .where(F.expr(f"(kind = 'spike' and score > {spike_z} * scale) or (kind = 'stuck' and score >= greatest({least_run}, {run_ratio} * longest) and score <= most)"))
         .select("source", "t", "v", "kind", F.when(F.col("kind") == "spike", F.expr("try_divide(score, scale)")).otherwise(F.col("score")).alias("score"))
     )
     flagged = possible.join(judged, ["source", "t", "v"]).select("row_id", "source", "kind", "score")
