@@ -6,10 +6,11 @@ import os
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 
 def plain(x):
-    if x is None or (isinstance(x, float | np.floating) and np.isnan(x)):
+    if x is None or x is pd.NA or (isinstance(x, float | np.floating) and np.isnan(x)):
         return None
     if isinstance(x, bool | np.bool_):
         return bool(x)

@@ -35,12 +35,12 @@ def ljung_box_p(spark, sf_dir):
     return shown(ordered.ljung_box(ordered.autocorrelation(closes(spark, sf_dir), 10), 10))
 
 
-@R.query("seasonal_lag", f"""WITH {ACF} SELECT series_id, CAST(min(CASE WHEN lag >= 6 AND lag <= least(40, n // 3) AND abs(acf) > 2 / sqrt(n::DOUBLE) THEN lag END) AS INTEGER) AS lag,
+@R.query("seasonal_lag", f"""WITH {ACF} SELECT series_id, CAST(coalesce(min(CASE WHEN lag >= 6 AND lag <= least(40, n // 3) AND abs(acf) > 2 / sqrt(n::DOUBLE) THEN lag END), 0) AS INTEGER) AS lag,
 round_even(avg(CASE WHEN lag >= 1 AND lag <= least(5, n // 3) THEN abs(acf) END), 6) AS strength FROM acf GROUP BY 1""")
 def seasonal_lag(spark, sf_dir):
     """First significant seasonal lag and autocorrelation strength."""
     acf = ordered.autocorrelation(closes(spark, sf_dir), LAGS)
-    return shown(ordered.seasonality(acf).join(ordered.autocorrelation_strength(acf), "series_id"))
+    return shown(ordered.seasonality(acf).fillna(0, ["lag"]).join(ordered.autocorrelation_strength(acf), "series_id"))
 
 
 @R.query("noise_trend_outlier", f"""WITH {CLOSES}, p AS (SELECT series_id, value, row_number() OVER w - 1 AS pos, abs(value - avg(value) OVER s) / (stddev_pop(value) OVER s + 1e-12) AS z FROM closes WINDOW w AS (PARTITION BY series_id ORDER BY ts), s AS (PARTITION BY series_id))
@@ -115,10 +115,10 @@ def delay_embedding(spark, sf_dir):
 
 @R.query("ts_folds", f"""WITH {CLOSES}, p AS (SELECT series_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM closes {W_}),
 f AS (SELECT series_id, CAST(CASE WHEN n // 6 > 0 AND pos >= n - (n // 6) * 5 THEN (pos - (n - (n // 6) * 5)) // (n // 6) + 1 END AS INTEGER) AS fold, pos FROM p)
-SELECT series_id, fold, count(*) AS rows, min(pos) AS first_pos, max(pos) AS last_pos FROM f GROUP BY 1, 2""")
+SELECT series_id, coalesce(fold, 0) AS fold, count(*) AS rows, min(pos) AS first_pos, max(pos) AS last_pos FROM f GROUP BY 1, 2""")
 def ts_folds(spark, sf_dir):
     """Expanding folds."""
-    f = ordered.expanding_folds(ordered.positioned(closes(spark, sf_dir)))
+    f = ordered.expanding_folds(ordered.positioned(closes(spark, sf_dir))).fillna(0, ["fold"])
     return f.groupBy("series_id", "fold").agg(F.count(F.lit(1)).alias("rows"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
 
 
