@@ -102,3 +102,31 @@ def test_extractor_never_fails(spark):
 
     got = {r.doc: (r.answer, r.error) for r in extractor.ask_all(spark.createDataFrame([(1, "r", "ok"), (2, "r", "bad")], "doc int, rule string, prompt string"), ask).collect()}
     assert got == {"1": ("OK", None), "2": (None, "OSError: down")}
+
+
+def test_prompts_and_sql_functions(spark, sf_dir):
+    from tidemark.functions.registered import register_functions, register_views
+    from tidemark.sources import synthetic
+
+    rules = rs.rules_table(spark, [rs.Rule("a", "Alpha", ("x", "y"), ("e",))])
+    p = extractor.prompts(docs(spark, "text " * 5000, None), rules, "doc_id", "body").collect()
+    assert len(p) == 2 and all("Alpha" in r.prompt and len(r.prompt) < 9000 for r in p)
+    register_functions(spark)
+    assert abs(spark.sql("select chi2_tail(18.307D, 10D)").first()[0] - 0.05) < 1e-4
+    assert spark.sql("select keyword_passages('One. two audit three. four', 'audit', 2)").first()[0] == ["two audit three."]
+    assert spark.sql("select count(*) from ffd_weights(1.0D, 0.01D)").first()[0] == 2
+    assert "orders" in register_views(spark, sf_dir) and spark.sql("select count(*) from orders").first()[0] > 0
+    s = synthetic.causal_system(100)
+    assert set(s) == {"X1", "X2", "X3", "X4", "Y"} and all(abs(v.std() - 1) < 1e-9 for v in s.values())
+    assert synthetic.as_series(spark, a=synthetic.random_walk(10), b=synthetic.trending(5)).count() == 15
+    with pytest.raises(ValueError):
+        synthetic.autoregression(10, 1.0)
+
+
+def test_save_and_read_reports(spark, tmp_path):
+    from tidemark.operators import report
+
+    report.save(spark.createDataFrame([("a", "# x")], "series_id string, markdown string"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().markdown == "# x"
+    with pytest.raises(ValueError):
+        report.save(spark.range(1), str(tmp_path / "q"), "xml")

@@ -184,6 +184,21 @@ def hidden_regimes(returns: DataFrame, states: int = 4) -> DataFrame:
     return per_series(_known(returns), one, "ts date, value double, state int, p array<double>, move array<double>, loglik double")
 
 
+def regimes_of_new(returns: DataFrame, new: DataFrame, states: int = 4) -> DataFrame:
+    """series_id, ts, p: posteriors of new rows under the model fitted on the old ones; series without old rows give none."""
+
+    def run(key: tuple, old: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
+        old, fresh = old.sort_values("ts"), fresh.sort_values("ts")
+        if not len(old) or not len(fresh):
+            return pd.DataFrame({"series_id": [], "ts": [], "p": []})
+        model, _ = hmm.fit_hmm(old["value"].to_numpy(), states if len(old) >= 10 * states else 1)
+        return pd.DataFrame({"series_id": key[0], "ts": fresh["ts"], "p": model.forward_backward(fresh["value"].to_numpy())[0].tolist()})
+
+    named = lambda df, *names: _known(df).toDF(*names)  # noqa: E731 - both may come from one DataFrame
+    pairs = named(returns, "series_id", "ts", "value").groupBy("series_id").cogroup(named(new, "new_id", "ts", "value").groupBy("new_id"))
+    return pairs.applyInPandas(run, "series_id string, ts date, p array<double>")
+
+
 def state_scores(returns: DataFrame, most: int = 5) -> DataFrame:
     """series_id, states, score: held-out log-likelihood per value of each number of states."""
 
@@ -240,6 +255,19 @@ def granger(pairs: DataFrame, lags: int = 3, kind: str = "linear") -> DataFrame:
     return per_series(pairs.dropna(subset=["y", "x"]), one, "rmse_uni double, rmse_bi double, gain double")
 
 
+def drivers(returns: DataFrame, targets: list[str], least_gain: float = 0.05, min_rows: int = 30) -> DataFrame:
+    """source, target, gain: series whose lags improve the forecast of a stated target by more than least_gain.
+
+    returns: series_id, ts, r. Sources meet a target through the day; pairs with fewer than min_rows common days are left out.
+    """
+    y = returns.where(F.col("series_id").isin(targets)).select(F.col("series_id").alias("target"), "ts", F.col("r").alias("y"))
+    x = returns.select(F.col("series_id").alias("source"), "ts", F.col("r").alias("x"))
+    pairs = x.join(y, "ts").where("source <> target").select(F.concat_ws("\u0001", "source", "target").alias("series_id"), "ts", "y", "x")
+    enough = pairs.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("series_id")
+    gains = granger(pairs.join(enough, "series_id", "left_semi")).where(F.col("gain") > least_gain)
+    return gains.select(F.split("series_id", "\u0001")[0].alias("source"), F.split("series_id", "\u0001")[1].alias("target"), "gain")
+
+
 def full_causality(pairs: DataFrame, horizons: tuple[int, ...] = (1, 2, 3, 4), lags: int = 3, surrogates: int = 30, last: int = 400) -> DataFrame:
     """series_id, horizon, score, p, significant, gain (neighbours), linear_gain of x on y that many rows ahead.
 

@@ -97,3 +97,24 @@ def save(report: DataFrame, path: str, kind: str = "json") -> None:
     if kind not in ("json", "parquet", "text"):
         raise ValueError("kind: json, parquet or text")
     getattr(report.write.mode("overwrite"), kind)(path)
+
+
+def document_markdown(scores: DataFrame, findings: DataFrame) -> DataFrame:
+    """doc, markdown of document scores (see rule_scoring) with their ranked findings; a table of counts and a list."""
+    listed = findings.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("f"))
+    r = scores.join(listed, "doc", "left")
+    n = lambda c: F.col(c).cast("string")
+    parts = F.array_compact(
+        F.array(
+            F.concat(F.lit("# Document "), n("doc")), F.concat(F.lit("Score "), F.format_number(F.bround("score", 4), 4), F.lit(", risk "), "risk", F.lit(", level "), n("maturity")),
+            F.concat(F.lit("| present | partial | missing |\n| --- | --- | --- |\n| "), n("present"), F.lit(" | "), n("partial"), F.lit(" | "), n("missing"), F.lit(" |")),
+            F.when(F.size("f") > 0, F.concat(F.lit("## To do\n\n"), F.array_join(F.transform("f", lambda x: F.concat(x["place"].cast("string"), F.lit(". "), x["text"])), "\n"))),
+        )
+    )
+    return r.select("doc", F.array_join(parts, "\n\n").alias("markdown"))
+
+
+def batch_lines(rows: DataFrame) -> DataFrame:
+    """doc, score, line: the rows of a Markdown table of filename, score and risk, worst first; written as text they are the report."""
+    line = F.concat(F.lit("| "), "filename", F.lit(" | "), F.format_number(F.bround("score", 4), 4), F.lit(" | "), "risk", F.lit(" |"))
+    return rows.select("doc", "score", line.alias("line")).orderBy("score", "line")

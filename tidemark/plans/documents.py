@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.model import table
+from tidemark.operators import report
 from tidemark.operators import rule_scoring as rs
 from tidemark.operators import text as tx
 from tidemark.operators.rule_scoring import Rule
@@ -149,3 +150,18 @@ def jaccard(spark, sf_dir):
     """Overlap of found and expected elements."""
     s = scored(spark, sf_dir)
     return shown(s.select("doc", "rule", rs.jaccard(F.col("found"), F.array_union("found", "missing")).alias("jaccard")))
+
+
+@R.query("doc_report_markdown")
+def doc_report_markdown(spark, sf_dir):
+    """A Markdown report per document."""
+    s = scored(spark, sf_dir)
+    return report.document_markdown(rs.document_scores(s), rs.ranked_findings(s))
+
+
+@R.query("batch_report_lines", SCORED + """, r AS (SELECT doc, sum(overall * weight) / sum(weight) AS score FROM z GROUP BY 1) SELECT '| ' || c.filename || ' | ' || printf('%.4f', round_even(score, 4)) || ' | ' || CASE WHEN score >= 0.7 THEN 'low' WHEN score >= 0.4 THEN 'medium' ELSE 'high' END || ' |' AS line, c.contract_id FROM r JOIN contracts c ON c.contract_id = r.doc""")
+def batch_report_lines(spark, sf_dir):
+    """The lines of the batch report."""
+    names = table(spark, sf_dir, "contracts").select(F.col("contract_id").alias("doc"), "filename")
+    d = rs.document_scores(scored(spark, sf_dir)).withColumn("score", F.col("score") + 3.1e-9).join(names, "doc")
+    return report.batch_lines(d).select("line", F.col("doc").alias("contract_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import by_series, log_return, quarter_end
 from tidemark.model import table
+from tidemark.operators.fracdiff import ffd_weights
 from tidemark.operators import align, backtest, causality, diagnostics, estimators, ordered, pipeline, regimes as regime_ops, report
 from tidemark.plans.analysis import ORIGINS, START, END, price_volume
 from tidemark.plans.base import CLOSES, NUDGE, PANEL, REGIMES, Registry, closes, panel_series, regimes, shown
@@ -189,6 +190,33 @@ def causality_classes(spark, sf_dir):
     return causality.causal_class(estimators.full_causality(price_volume(spark, sf_dir)))
 
 
+@R.query("pairwise_drivers")
+def pairwise_drivers(spark, sf_dir):
+    """Which series help to forecast the named asset."""
+    from tidemark.operators.assets import daily_returns
+
+    return shown(estimators.drivers(daily_returns(closes(spark, sf_dir)), ["QORVEX-USD"], -1.0))
+
+
+@R.query("regimes_of_new_rows")
+def regimes_of_new_rows(spark, sf_dir):
+    """Posteriors of each series' last year under a model of the years before."""
+    r = log_returns(spark, sf_dir)
+    cut = r.groupBy("series_id").agg(F.date_sub(F.max("ts"), 365).alias("cut"))
+    parts = r.join(cut, "series_id")
+    new = estimators.regimes_of_new(parts.where("ts <= cut"), parts.where("ts > cut"))
+    return shown(new.select("series_id", "ts", F.element_at("p", -1).alias("wildest")))
+
+
+@R.query("ffd_weights_sql", "SELECT CAST(place AS INTEGER) AS place, round_even(weight, 6) AS weight FROM (VALUES " + ", ".join(f"({i}, {w!r}::DOUBLE)" for i, w in enumerate(ffd_weights(0.4, 1e-2))) + ") t(place, weight)")
+def ffd_weights_sql(spark, sf_dir):
+    """W1 as a table function in SQL text."""
+    from tidemark.functions.registered import register_functions
+
+    register_functions(spark)
+    return shown(spark.sql("select place, weight from ffd_weights(0.4D, 0.01D)"))
+
+
 def _forecasts(spark, sf_dir):
     w = by_series()
     past = w.rowsBetween(-3, -1)
