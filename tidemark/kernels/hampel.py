@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 
-#: Share of the smallest deviations taken for the usual movement, so that spikes don't widen it.
-CALM_SHARE = 0.98
 #: Mean absolute deviation of a normal variable, times this, is its standard deviation.
 MEAN_TO_SIGMA = 1.2533
 
@@ -33,13 +34,18 @@ def deviations(x: np.ndarray, half: int) -> np.ndarray:
     return x - rolling_median(x, half)
 
 
-def usual_movement(dev: np.ndarray, step: float) -> float:
-    """Robust scale of the deviations; not below 0.3 of the source's smallest value step."""
+def usual_movement(dev: np.ndarray, step: float, calm_share: float = 0.98) -> float:
+    """Robust scale of the deviations: mean of their smallest calm_share, so that spikes don't widen it; not below 0.3 steps.
+
+    For shares well under 1 the mean is scaled up to what it is for all of a normal variable.
+    """
     size = np.abs(dev)
     if not len(size):
         return 0.0
-    calm = size[size <= np.quantile(size, CALM_SHARE)]
-    return max(MEAN_TO_SIGMA * float(calm.mean()), 0.3 * step)
+    calm = size[size <= np.quantile(size, calm_share)]
+    z = NormalDist().inv_cdf(0.5 + calm_share / 2)
+    whole = calm_share / (1 - math.exp(-z * z / 2)) if calm_share < 0.95 else 1.0
+    return max(MEAN_TO_SIGMA * whole * float(calm.mean()), 0.3 * step)
 
 
 def smallest_step(x: np.ndarray) -> float:

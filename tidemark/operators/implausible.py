@@ -44,7 +44,7 @@ class Bounds:
         return bad
 
 
-def _judge(log_scale: bool, half: int, loose_z: float, loose_run: float, least_run: int, upper_only: bool):
+def _judge(log_scale: bool, half: int, loose_z: float, loose_run: float, least_run: int, upper_only: bool, calm_share: float):
     """Per block: one 'stat' row, and the readings that pass a loose threshold as 'spike' and 'stuck' candidates."""
 
     def judge(table: pa.Table) -> pa.Table:
@@ -54,7 +54,7 @@ def _judge(log_scale: bool, half: int, loose_z: float, loose_run: float, least_r
         t, v, inner = t[order], v[order], inner[order]
         x = np.log(v) if log_scale else v
         dev = deviations(x, half)
-        scale = usual_movement(dev, smallest_step(x))
+        scale = usual_movement(dev, smallest_step(x), calm_share)
         start, length = run_lengths(v)
         n = len(v)
         _, which, often = np.unique(v, return_inverse=True, return_counts=True)
@@ -100,7 +100,7 @@ def repetition_rate(runs: int, runs2: int, runs3: int) -> float:
 
 def implausible_readings(
     readings: DataFrame, source: str, ts: str, value: str, row_id: str, bounds: Bounds, *, log_scale: bool = False, upper_only: bool = False,
-    half_window: int = 7, spike_z: float = 12.5, least_scale: float = 0.0, run_ratio: float = 2.3, least_run: int = 6, block_rows: int = 8192,
+    half_window: int = 7, spike_z: float = 12.5, least_scale: float = 0.0, calm_share: float = 0.98, run_ratio: float = 2.3, least_run: int = 6, block_rows: int = 8192,
 ) -> DataFrame:
     """Flagged rows: row_id, source, kind ('impossible', 'spike' or 'stuck'), score.
 
@@ -108,7 +108,8 @@ def implausible_readings(
     reading (same source, time and value) are judged once and flagged together. NULL and NaN are never flagged, break no
     run and are no neighbours; rows without source or time are only held against the bounds. An empty table, a source with
     one reading and a constant source give no flags; ties in time are ordered by value. A row may appear under two kinds.
-    least_scale is a floor under a source's scale, for sources that hardly move. log_scale needs bounds that exclude values <= 0. Blocks of about block_rows readings have margins of a fourth on either
+    least_scale is a floor under a source's scale, for sources that hardly move; calm_share is the share of the deviations that
+    make up the scale, to be lowered where sources are short and several readings may be wrong. log_scale needs bounds that exclude values <= 0. Blocks of about block_rows readings have margins of a fourth on either
     side; a run is followed at most that far across a block's border, further than any threshold.
     """
     if log_scale and not (bounds.low is not None and (bounds.low > 0 or bounds.low == 0 and bounds.low_open)):
@@ -130,7 +131,7 @@ def implausible_readings(
         .withColumn("block", F.explode(F.sequence(F.least("own", "near"), F.greatest("own", "far"))))
         .select("source", "block", "t", "v", (F.col("block") == F.col("own")).alias("inner"))
     )
-    judge = _judge(log_scale, half_window, spike_z / 2, run_ratio / 2, least_run, upper_only)
+    judge = _judge(log_scale, half_window, spike_z / 2, run_ratio / 2, least_run, upper_only, calm_share)
     found = spread.groupBy("source", "block").applyInArrow(judge, SCHEMA)
     whole = W.partitionBy("source")
     share = lambda c: F.sum(c).over(whole)

@@ -89,7 +89,7 @@ def implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = implausible_readings(table(spark, sf_dir, "quotes"), "symbol", "ts", "close", "reading_id", Bounds(0.0, True), log_scale=True)
     fractions = implausible_readings(
         table(spark, sf_dir, "series_profile"), "symbol", "profiled_at", "outlier_fraction", "profile_id", Bounds(0.0, False, 1.0),
-        upper_only=True, half_window=30, spike_z=12.0, least_scale=0.001, least_run=5,
+        upper_only=True, half_window=30, spike_z=9.7, least_scale=0.002, calm_share=0.8, least_run=5,
     )
     return quotes.withColumn("tbl", F.lit("quotes")).unionByName(fractions.withColumn("tbl", F.lit("series_profile")))
 
