@@ -26,3 +26,11 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    assert main(["list"]) == 0 and "p1_found" in capsys.readouterr().out
+    assert main(["explain", "nsr", sf_dir]) == 0 and "Physical Plan" in capsys.readouterr().out
+    assert main(["run", "nsr", sf_dir, "--out", str(tmp_path / "o")]) == 0 and spark.read.parquet(str(tmp_path / "o")).count() > 0

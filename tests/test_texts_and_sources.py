@@ -14,9 +14,9 @@ def docs(spark, *texts):
 
 
 def test_sections_and_context(spark):
-    t = "start\nPAYMENT: \nwithin 30 days\nTERM:\nEND:\nlast. word indemnify here. more\nPAYMENT:\nagain"
-    got = {r.section: r.content for r in tx.sections(docs(spark, t, None, ""), "doc_id", "body").collect()}
-    assert got == {"PREAMBLE": "start", "PAYMENT": "again", "END": "last. word indemnify here. more"}
+    t = "start\nPAYMENT: \nwithin 30 days\nTERM:\nENDING:\nlast. word indemnify here. more\n2. Fees due:\n\nARTICLE IV Scope of work\nall\nNo header: x\nPAYMENT:\n again \n"
+    got = {r.section: r.content for r in tx.sections(docs(spark, t, None), "doc_id", "body").where("doc = 0").collect()}
+    assert got == {"PREAMBLE": "start", "PAYMENT": "again", "ENDING": "last. word indemnify here. more", "2. Fees due": "", "ARTICLE IV Scope of work": "all\nNo header: x"}
     assert tx.in_context(t, ["indemnify", "absent"], 3) == ["word indemnify here."]
     assert tx.keyword_in_context(docs(spark, t, "x", None), "doc_id", "body", ["indemnify"], 3).count() == 1
 
@@ -29,7 +29,7 @@ def test_metadata_and_truncation(spark):
 
 
 def test_answers(spark):
-    texts = ['{"status": "PRESENT", "confidence": 7}', 'so {"status": "partial"} yes', '{"a": {"b": 1}, "status": "n/a"}', "nothing", None, '{"status": "odd"}']
+    texts = ['{"status": "PRESENT", "confidence": 7}', 'so {no} {"status": "partial"} yes', '{"a": {"b": 1}, "status": "n/a"}', "nothing", None, '{"status": "odd"}']
     expected = F.array(F.lit("e"))
     got = docs(spark, *texts).orderBy("doc_id").select(tx.normalise_answer(tx.parse_answer(F.col("body")), expected).alias("a")).collect()
     assert [r.a.status for r in got] == ["present", "partial", "n/a", "missing", "missing", "missing"]

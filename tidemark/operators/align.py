@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import month_of_quarter, quarter_end, week_end
 
+# Mean gap in days up to which a series has a seasonal period, and a frequency class.
+PERIODS = ((1.5, 7), (8, 52), (32, 12), (93, 4))
+CLASSES = ((8, "D"), (32, "M"))
 AGGREGATIONS = ("last", "mean", "sum", "first", "min", "max")
 
 
@@ -22,13 +25,18 @@ def mean_gap(series: DataFrame) -> DataFrame:
 
 def seasonal_period(series: DataFrame) -> DataFrame:
     """series_id, gap, period: 7 up to 1.5 days, 52 up to 8, 12 up to 32, 4 up to 93, else 1; 1 for fewer than two points."""
-    gap = F.col("gap")
-    return mean_gap(series).select("series_id", "gap", F.when(F.col("n") < 2, 1).when(gap <= 1.5, 7).when(gap <= 8, 52).when(gap <= 32, 12).when(gap <= 93, 4).otherwise(1).alias("period"))
+    period = F.when(F.col("n") < 2, 1)
+    for gap, rows in PERIODS:
+        period = period.when(F.col("gap") <= gap, rows)
+    return mean_gap(series).select("series_id", "gap", period.otherwise(1).alias("period"))
 
 
 def frequency_class(series: DataFrame) -> DataFrame:
     """series_id, freq: D up to a mean gap of 8 days, M up to 32, else Q."""
-    return mean_gap(series).select("series_id", F.when(F.col("gap") <= 8, "D").when(F.col("gap") <= 32, "M").otherwise("Q").alias("freq"))
+    label = F
+    for gap, name in CLASSES:
+        label = label.when(F.col("gap") <= gap, name)
+    return mean_gap(series).select("series_id", label.otherwise("Q").alias("freq"))
 
 
 def _aggregate(how: str) -> Column:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import by_series
 
+# What a source can be to a target; by a significant cross map (or none) and a useful gain (or none).
+CLASSES = {(True, True): "Strong Causal Driver", (True, False): "Structural Cause (Hidden)", (False, True): "Predictive Proxy", (False, False): "Noise/Irrelevant"}
+USEFUL_GAIN = 0.01
+
 
 def cross_map_score(pairs: DataFrame, dim: int = 3, tau: int = 1, last: int = 120) -> DataFrame:
     """series_id, points, score: how well the target's delay vectors find the source again.
@@ -70,6 +74,5 @@ def granger_gain_one_lag(pairs: DataFrame, alpha: float = 1.0, folds: int = 5) -
 def causal_class(tested: DataFrame) -> DataFrame:
     """series_id, class from rows per horizon with significant (bool), gain and score: any significant, mean gain over 1 %."""
     s = tested.groupBy("series_id").agg(F.bool_or("significant").alias("any"), F.avg("gain").alias("gain"), F.avg("score").alias("score"))
-    useful = F.col("gain") > 0.01
-    name = F.when(F.col("any") & useful, "Strong Causal Driver").when(F.col("any"), "Structural Cause (Hidden)").when(useful, "Predictive Proxy").otherwise("Noise/Irrelevant")
+    name = F.create_map(*[F.lit(x) for (any_hit, useful), label in CLASSES.items() for x in (f"{any_hit}{useful}".lower(), label)])[F.concat(F.col("any").cast("string"), (F.col("gain") > USEFUL_GAIN).cast("string"))]
     return s.select("series_id", name.alias("class"), F.bround("score", 3).alias("score"), F.bround(F.col("gain") * 100, 1).alias("gain_percent"))

@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Header forms of a section: numbered, all capitals with a colon, and titled with a colon.
-HEADER = r"^(?:\d+\.\s*[A-Z][A-Za-z &/-]*:|[A-Z][A-Z &/-]{2,}:|(?:ARTICLE|SECTION|Article|Section)\s+[\dIVXLC]+[^:]{0,80}:)"
+# Forms of a header line, tried in this order; the first group is the section's name.
+HEADERS = (
+    r"^(\d+\.?\s*[A-Z][A-Za-z\s]+):",
+    r"^(ARTICLE\s+[IVX\d]+[:\s]+[A-Za-z\s]+)",
+    r"^([A-Z][A-Z\s]{3,}):",
+)
 ANSWER = "found boolean, status string, extracted_text string, found_elements array<string>, missing_elements array<string>, confidence double, issues array<string>"
 
 
@@ -40,24 +44,28 @@ def truncate_end(text: Column, limit: int, tail: str = "") -> Column:
     return F.when(F.char_length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(tail))).otherwise(text)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def sections(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, section, content: lines under each header line; PREAMBLE before the first. Headers without content are left out,
-    of equal headers the last holds. One document's lines stay inside its row: arrays folded in the JVM, no shuffle."""
+    """doc, section, content: lines under each header line; PREAMBLE before the first. A header with no line under it is
+    left out, of equal headers the last holds. One document's lines stay inside its row: arrays folded in the JVM."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    start = F.struct(F.lit("PREAMBLE").alias("name"), F.array().cast("array<string>").alias("lines"))
-    done = F.array().cast("array<struct<name:string,lines:array<string>>>")
-    init = F.struct(start.alias("now"), done.alias("done"))
+    none = F.array().cast("array<string>")
+    init = F.struct(F.struct(F.lit("PREAMBLE").alias("name"), none.alias("lines")).alias("now"), F.array().cast("array<struct<name:string,lines:array<string>>>").alias("done"))
 
     def step(acc: Column, line: Column) -> Column:
-        header = line.rlike(HEADER)
-        name = F.trim(F.regexp_replace(F.regexp_extract(line, HEADER, 0), ":$", ""))
-        opened = F.struct(F.struct(name.alias("name"), F.array().cast("array<string>").alias("lines")).alias("now"), F.concat(acc["done"], F.array(acc["now"])).alias("done"))
+        name = F.coalesce(*[F.when(line.rlike(h), stripped(F.regexp_extract(line, h, 1))) for h in HEADERS])
+        opened = F.struct(F.struct(name.alias("name"), none.alias("lines")).alias("now"), F.concat(acc["done"], F.array(acc["now"])).alias("done"))
         grown = F.struct(F.struct(acc["now"]["name"].alias("name"), F.concat(acc["now"]["lines"], F.array(line)).alias("lines")).alias("now"), acc["done"].alias("done"))
-        return F.when(header, opened).otherwise(grown)
+        return F.when(name.isNotNull(), opened).otherwise(grown)
 
     folded = F.aggregate(lines, init, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
-    rows = documents.select(F.col(doc_id).alias("doc"), F.posexplode(folded).alias("place", "s")).select("doc", "place", F.col("s.name").alias("section"), F.trim(F.array_join("s.lines", "\n")).alias("content"))
-    return rows.where("content <> ''").groupBy("doc", "section").agg(F.max_by("content", "place").alias("content"))
+    rows = documents.select(F.col(doc_id).alias("doc"), F.posexplode(folded).alias("place", "s")).where(F.size("s.lines") > 0)
+    rows = rows.select("doc", "place", F.col("s.name").alias("section"), stripped(F.array_join("s.lines", "\n")).alias("content"))
+    return rows.groupBy("doc", "section").agg(F.max_by("content", "place").alias("content"))
 
 
 def in_context(text: str, keywords: list[str], around: int = 500) -> list[str]:
@@ -91,17 +99,17 @@ def hit_count(text: Column, keyword: str) -> Column:
 
 
 def parse_answer(answer: Column) -> Column:
-    """Struct of ANSWER from a model's text: strict JSON, else the first flat {...}, else one with one nested level; else NULL."""
-    flat = F.regexp_extract(answer, r"\{[^{}]*\}", 0)
-    nested = F.regexp_extract(answer, r"\{(?:[^{}]|\{[^{}]*\})*\}", 0)
-    parsed = lambda c: F.from_json(c, ANSWER, {"mode": "PERMISSIVE"})
-    good = lambda c: F.when(c.startswith("{") & (F.size(F.coalesce(F.json_object_keys(c), F.array())) > 0), parsed(c))
-    return F.coalesce(good(F.trim(answer)), good(flat), good(nested))
+    """Struct of ANSWER from a model's text: the whole text as JSON, else the first flat {...} that is JSON, else the first
+    with one nested level; NULL if there is none."""
+    valid = lambda c: F.json_object_keys(c).isNotNull()
+    first = lambda pattern: F.get(F.filter(F.regexp_extract_all(answer, F.lit(pattern), F.lit(0)), valid), F.lit(0))
+    whole = F.when(valid(answer), answer)
+    return F.from_json(F.coalesce(whole, first(r"\{[^{}]*\}"), first(r"\{(?:[^{}]|\{[^{}]*\})*\}")), ANSWER, {"mode": "PERMISSIVE"})
 
 
 def normalise_answer(parsed: Column, expected: Column) -> Column:
     """Defaults for what an answer leaves out: status missing, all elements missing, confidence within 0..1 (0 if not given)."""
-    status = F.lower(F.trim(parsed["status"]))
+    status = F.lower(parsed["status"])
     known = F.when(status.isin("present", "partial", "missing", "n/a"), status).otherwise("missing")
     empty = F.array().cast("array<string>")
     return F.struct(

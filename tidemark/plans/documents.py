@@ -59,13 +59,14 @@ def truncate_middle(spark, sf_dir):
     return contracts(spark, sf_dir).select("contract_id", F.char_length(t).cast("long").alias("n"), tx.truncate_middle(t, 8000, "[..]").alias("shortened"), tx.truncate_end(t, 300, "...").alias("head"))
 
 
-SECTION_HEADER = tx.HEADER
+STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+HEADER_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(line, '{h}') THEN {STRIP(f"regexp_extract(line, '{h}', 1)")} END" for h in tx.HEADERS) + ")"
 
 
 @R.query("sections", f"""WITH l AS (SELECT contract_id AS doc, unnest(string_split(coalesce(contract_text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(contract_text, ''), chr(10)), 1) AS i FROM contracts),
-h AS (SELECT *, regexp_matches(line, '{SECTION_HEADER}') AS header FROM l), g AS (SELECT *, sum(CAST(header AS INTEGER)) OVER (PARTITION BY doc ORDER BY i) AS sec FROM h),
-s AS (SELECT doc, sec, coalesce(max(CASE WHEN header THEN trim(regexp_replace(regexp_extract(line, '{SECTION_HEADER}'), ':$', '')) END), 'PREAMBLE') AS section, trim(string_agg(CASE WHEN NOT header THEN line END, chr(10) ORDER BY i)) AS content FROM g GROUP BY 1, 2)
-SELECT doc, section, arg_max(content, sec) AS content FROM s WHERE content <> '' GROUP BY 1, 2""")
+h AS (SELECT *, {HEADER_SQL} AS name FROM l), g AS (SELECT *, sum(CASE WHEN name IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY i) AS sec FROM h),
+s AS (SELECT doc, sec, coalesce(max(name), 'PREAMBLE') AS section, {STRIP("string_agg(CASE WHEN name IS NULL THEN line END, chr(10) ORDER BY i)")} AS content FROM g GROUP BY 1, 2)
+SELECT doc, section, arg_max(content, sec) AS content FROM s WHERE content IS NOT NULL GROUP BY 1, 2""")
 def sections(spark, sf_dir):
     """Sections by header lines."""
     return tx.sections(contracts(spark, sf_dir), "contract_id", "contract_text")
