@@ -159,12 +159,12 @@ def score_lines(net: Network, lines: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fit_lines(ids: list[list[int]], target: np.ndarray, weight: np.ndarray, seed: int, epochs: int, net: Network | None = None) -> Network:
+def fit_lines(ids: list[list[int]], target: np.ndarray, seed: int, epochs: int, net: Network | None = None) -> Network:
     """Adam on the logistic loss; the rare kinds of line are drawn as often as the clean ones."""
     rng = np.random.default_rng(seed)
     net = net or Network.fresh(seed)
     table, owner = padded(ids)
-    target, weight = target[owner], weight[owner]
+    target = target[owner]
     positive, negative = np.flatnonzero(target.max(axis=1) > 0.5), np.flatnonzero(target.max(axis=1) <= 0.5)
     if not len(positive) or not len(negative):
         return net
@@ -186,7 +186,7 @@ def fit_lines(ids: list[list[int]], target: np.ndarray, weight: np.ndarray, seed
             x = np.where(filled[part, :width] & (rng.random((len(part), width)) < HIDDEN), 1, table[part, :width])
             logits, kept = net.forward(x)
             p = 1 / (1 + np.exp(-logits))
-            d = ((p - target[part]) * weight[part][:, None] / len(part)).astype(np.float32)
+            d = ((p - target[part]) / len(part)).astype(np.float32)
             step += 1
             for value, grad, (m, v) in zip(net.parts(), net.backward(x, kept, d), moments, strict=True):
                 m += 0.1 * (grad - m)
@@ -243,13 +243,12 @@ def _train(docs: list[Labelled], background: list[list[int]], seed: int, rounds:
             else:
                 logits = score_lines(net, open_lines)
                 score = logits[:, d.target > 0].max(axis=1)
-            for i in np.flatnonzero((score > 0) & (net is not None)) if net is not None else []:
-                if i != score.argmax():
-                    lines.append(open_lines[i])
-                    target.append(d.target)
-            lines.append(open_lines[int(score.argmax())])
-            target.append(d.target)
-        net = fit_lines(lines, np.array(target, np.float32), np.ones(len(lines), np.float32), seed + k, epochs, net)
+            picked = {int(score.argmax())}
+            if net is not None:
+                picked |= set(np.flatnonzero(score > 0).tolist())
+            lines += [open_lines[i] for i in sorted(picked)]
+            target += [d.target] * len(picked)
+        net = fit_lines(lines, np.array(target, np.float32), seed + k, epochs, net)
     unseen = count.sum(axis=0) == 0
     unseen[:2] = False
     net.embed[unseen] = net.embed[1]
@@ -382,7 +381,7 @@ def score_documents(
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kind = documents.schema[doc_id].dataType.simpleString()
-    trained = bool(np.isfinite(model.held_out_f1)) or model.usual != 0.0 or _is_fitted(model.net)
+    trained = bool(np.any(model.net.biases[0] != 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -415,10 +414,6 @@ def score_documents(
     ).mapInArrow(run, f"doc {kind}, source string, language string, abuse double, hate double, sexual double, score double, flagged boolean")
 
 
-def _is_fitted(net: Network) -> bool:
-    return bool(np.any(net.biases[0] != 0))
-
-
 _IDS: dict[str, int] = {}
 
 
