@@ -190,7 +190,7 @@ def regimes_of_new(returns: DataFrame, new: DataFrame, states: int = 4) -> DataF
     def run(key: tuple, old: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
         old, fresh = old.sort_values("ts"), fresh.sort_values("ts")
         if not len(old) or not len(fresh):
-            return pd.DataFrame({"series_id": [], "ts": [], "p": []})
+            return pd.DataFrame([], columns=["series_id", "ts", "p"], dtype=object)
         model, _ = hmm.fit_hmm(old["value"].to_numpy(), states if len(old) >= 10 * states else 1)
         return pd.DataFrame({"series_id": key[0], "ts": fresh["ts"], "p": model.forward_backward(fresh["value"].to_numpy())[0].tolist()})
 

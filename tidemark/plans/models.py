@@ -200,9 +200,9 @@ def pairwise_drivers(spark, sf_dir):
 
 @R.query("regimes_of_new_rows")
 def regimes_of_new_rows(spark, sf_dir):
-    """Posteriors of each series' last year under a model of the years before."""
+    """Posteriors of each series' last 60 days under a model of the days before."""
     r = log_returns(spark, sf_dir)
-    cut = r.groupBy("series_id").agg(F.date_sub(F.max("ts"), 365).alias("cut"))
+    cut = r.groupBy("series_id").agg(F.date_sub(F.max("ts"), 60).alias("cut"))
     parts = r.join(cut, "series_id")
     new = estimators.regimes_of_new(parts.where("ts <= cut"), parts.where("ts > cut"))
     return shown(new.select("series_id", "ts", F.element_at("p", -1).alias("wildest")))
