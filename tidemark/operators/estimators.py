@@ -30,6 +30,12 @@ def per_series(df: DataFrame, function: Callable[[str, pd.DataFrame], pd.DataFra
     return df.groupBy("series_id").applyInPandas(run, f"series_id string, {schema}")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df parted by keys into more tasks than its bytes ask for, for work that costs much a row."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def _known(series: DataFrame) -> DataFrame:
     return series.where("value is not null and not isnan(value)").select("series_id", "ts", "value")
 

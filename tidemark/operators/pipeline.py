@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.series import by_series
 from tidemark.kernels import hmm, regression, state_space
 from tidemark.operators import estimators, ordered
 from tidemark.operators.backtest import pipeline_choice
@@ -14,6 +16,8 @@ from tidemark.operators.backtest import pipeline_choice
 #: Steps of the four pipelines: seasonal filter or not, and the level of the state-space model.
 PIPELINES = {"conservative": (True, "local linear trend"), "aggressive": (False, "local linear trend"), "crisis": (False, "local level"), "trend_following": (False, "smooth trend")}
 SHORT = 20
+#: Origins of a series that are fitted in one call.
+ORIGINS_PER_CALL = 32
 
 
 def characteristics(series: DataFrame) -> DataFrame:
@@ -61,30 +65,42 @@ def forecast_array(y: np.ndarray, name: str, steps: int, confidence: float = 0.9
     return state_space.fit(y, level).forecast(steps, confidence)
 
 
-def walk_forward(series: DataFrame, horizon: int = 7, step: int = 28, min_history: int = 120) -> DataFrame:
+def walk_forward(series: DataFrame, horizon: int = 7, step: int = 7, min_history: int = 120) -> DataFrame:
     """series_id, origin, price, actual, forecast, lower, upper, regime, pipeline: refitted at every origin.
 
-    Origins lie step days apart, from the first day with min_history rows on. A series' origins share one pass over its
-    history inside one call; series are independent.
+    Origins lie step days apart, from the first day with min_history rows on. Blocks of a series' origins are spread over
+    tasks, each with the history up to its last origin and the horizon after it.
     """
-
-    def one(_: str, rows: pd.DataFrame) -> pd.DataFrame:
-        y, day = rows["value"].to_numpy(), pd.to_datetime(rows["ts"]).to_numpy()
+    whole = W.partitionBy("series_id")
+    rows = series.where("value is not null").select("series_id", "ts", "value").withColumn("pos", F.row_number().over(by_series()))
+    rows = rows.withColumn("first", F.min(F.when(F.col("pos") == min_history, F.col("ts"))).over(whole)).withColumn("days", F.datediff(F.max("ts").over(whole), "first")).where("days > 0")
+    length = ORIGINS_PER_CALL * step
+    rows = rows.withColumn("final", F.expr(f"(days - 1) div {length}"))
+    # The first block whose last origin's horizon reaches the row; all later ones have it in their history.
+    reach = F.ceil((F.datediff("ts", "first") + step - horizon) / length) - 1
+    rows = rows.withColumn("block", F.explode(F.sequence(F.least("final", F.greatest(F.lit(0).cast("long"), reach)), "final")))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts", kind="stable")
+        y, day, first = rows["value"].to_numpy(), pd.to_datetime(rows["ts"]).to_numpy(), pd.Timestamp(rows["first"].iloc[0])
+        begin = int(key[1]) * length
         out = []
-        if len(y) > min_history:
-            for origin in np.arange(day[min_history - 1], day[-1], np.timedelta64(step, "D")):
-                k = int(np.searchsorted(day, origin, side="right"))
-                j = int(np.searchsorted(day, origin + np.timedelta64(horizon, "D"), side="right"))
-                if j <= k:
-                    continue
-                past = y[:k]
-                regime = regime_of(past)
-                name = choice_of(past, regime)
-                f = forecast_array(past, name, horizon)[-1]
-                out.append((pd.Timestamp(origin).date(), past[-1], y[j - 1], *f, regime, name))
-        return pd.DataFrame(out, columns=["origin", "price", "actual", "forecast", "lower", "upper", "regime", "pipeline"])
-
-    return estimators.per_series(series.where("value is not null"), one, "origin date, price double, actual double, forecast double, lower double, upper double, regime string, pipeline string")
+        for after in range(begin, min(begin + length, int(rows["days"].iloc[0])), step):
+            origin = (first + pd.Timedelta(days=after)).to_datetime64()
+            k = int(np.searchsorted(day, origin, side="right"))
+            j = int(np.searchsorted(day, origin + np.timedelta64(horizon, "D"), side="right"))
+            if j <= k:
+                continue
+            past = y[:k]
+            regime = regime_of(past)
+            name = choice_of(past, regime)
+            f = forecast_array(past, name, horizon)[-1]
+            out.append((key[0], pd.Timestamp(origin).date(), past[-1], y[j - 1], *f, regime, name))
+        return pd.DataFrame(out, columns=["series_id", "origin", "price", "actual", "forecast", "lower", "upper", "regime", "pipeline"])
+
+    columns = "series_id string, origin date, price double, actual double, forecast double, lower double, upper double, regime string, pipeline string"
+    blocks = estimators.spread(rows.select("series_id", "block", "ts", "value", "first", "days"), "series_id", "block")
+    return blocks.groupBy("series_id", "block").applyInPandas(run, columns)
 
 
 def regime_of(prices: np.ndarray) -> str:

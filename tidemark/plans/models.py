@@ -278,7 +278,7 @@ def pipeline_forecast(spark, sf_dir):
 @R.query("walk_forward_models")
 def walk_forward_models(spark, sf_dir):
     """Walk-forward with regime, choice and fit at every origin."""
-    return shown(backtest.error_metrics(pipeline.walk_forward(closes(spark, sf_dir), step=56), ["series_id"]), 4)
+    return shown(backtest.error_metrics(pipeline.walk_forward(closes(spark, sf_dir), step=7), ["series_id"]), 4)
 
 
 @R.query("pipeline_advantage")
