@@ -52,3 +52,16 @@ def test_every_origin_is_fitted_on_its_own_history(spark, history):
 def test_models_are_walked_weekly(spark, history, folder):
     got = {r.series_id: r.n for r in registry.queries()["walk_forward_models"](spark, folder).collect()}
     assert got == {k: sum(1 for _ in brute(rows, 7)) for k, rows in history.items() if len(rows) > 120}
+
+
+def test_advantage_is_over_the_conservative_pipeline(spark, history, folder):
+    got = {r.series_id: r for r in registry.queries()["pipeline_advantage"](spark, folder).collect()}
+    assert set(got) == {"a", "b"}
+    for key, r in got.items():
+        own, other = [], []
+        for _, past, actual in brute(history[key], 14):
+            name = pipeline.choice_of(past, pipeline.regime_of(past))
+            own.append(abs(pipeline.forecast_array(past, name, 7)[-1, 0] - actual))
+            other.append(abs(pipeline.forecast_array(past, "conservative", 7)[-1, 0] - actual))
+        assert abs(r.mae - np.mean(own)) < 1e-3 and abs(r.conservative_mae - np.mean(other)) < 1e-3
+        assert abs(r.advantage - 100 * (np.mean(other) - np.mean(own)) / np.mean(other)) < 1e-3

@@ -65,9 +65,11 @@ def forecast_array(y: np.ndarray, name: str, steps: int, confidence: float = 0.9
     return state_space.fit(y, level).forecast(steps, confidence)
 
 
-def walk_forward(series: DataFrame, horizon: int = 7, step: int = 7, min_history: int = 120) -> DataFrame:
+def walk_forward(series: DataFrame, horizon: int = 7, step: int = 7, min_history: int = 120, against: str | None = None) -> DataFrame:
     """series_id, origin, price, actual, forecast, lower, upper, regime, pipeline: refitted at every origin.
 
+    against: name of a pipeline that is fitted at the same origins too, its forecast in the column against (else NULL).
+
     Origins lie step days apart, from the first day with min_history rows on. Blocks of a series' origins are spread over
     tasks, each with the history up to its last origin and the horizon after it.
     """
@@ -95,10 +97,11 @@ def walk_forward(series: DataFrame, horizon: int = 7, step: int = 7, min_history
             regime = regime_of(past)
             name = choice_of(past, regime)
             f = forecast_array(past, name, horizon)[-1]
-            out.append((key[0], pd.Timestamp(origin).date(), past[-1], y[j - 1], *f, regime, name))
-        return pd.DataFrame(out, columns=["series_id", "origin", "price", "actual", "forecast", "lower", "upper", "regime", "pipeline"])
+            other = None if against is None else f[0] if against == name else forecast_array(past, against, horizon)[-1, 0]
+            out.append((key[0], pd.Timestamp(origin).date(), past[-1], y[j - 1], *f, regime, name, other))
+        return pd.DataFrame(out, columns=["series_id", "origin", "price", "actual", "forecast", "lower", "upper", "regime", "pipeline", "against"])
 
-    columns = "series_id string, origin date, price double, actual double, forecast double, lower double, upper double, regime string, pipeline string"
+    columns = "series_id string, origin date, price double, actual double, forecast double, lower double, upper double, regime string, pipeline string, against double"
     blocks = estimators.spread(rows.select("series_id", "block", "ts", "value", "first", "days"), "series_id", "block")
     return blocks.groupBy("series_id", "block").applyInPandas(run, columns)
 
