@@ -1,8 +1,9 @@
+import itertools
 import random
 
 import numpy as np
 
-from tidemark.llm.leaks import aligned, leaked_items
+from tidemark.llm.leaks import SHINGLE, aligned, leaked_items, prefix_reach
 from tidemark.llm.words import words
 
 WORDS = [a + b for a in ("zor", "bel", "qui", "tan", "mev", "lor", "pid") for b in ("ka", "mi", "dan", "fex", "or", "ul")]
@@ -77,3 +78,29 @@ def test_alignment():
     assert aligned(a, a, np.array([0]), 18, 7) == 18
     assert aligned(np.r_[a[:17], 99, 99, 99], a, np.array([0]), 18, 7) == 0
     assert aligned(np.array([5, 6]), a, np.array([-4]), 18, 7) == 0
+
+
+def test_copies_don_t_hide_an_altered_passage(spark):
+    w = [f"{a}{b}" for a in ("zor", "bel", "qui", "tan", "mev") for b in ("ka", "mi", "dan", "fex", "or", "ul")][:21]
+    part = ["other" if k in (5, 10, 15) else x for k, x in enumerate(w)]  # shingles 0 and 16 stay
+    for copies in (0, 1, 3):
+        docs = [(0, " ".join(part)), *[(k + 1, " ".join(w)) for k in range(copies)]]
+        assert found(spark, docs, [(7, " ".join(w))]) == {(d, 7) for d, _ in docs}
+
+
+def test_reach_against_every_way_to_alter():
+    worst = 0
+    for n in range(18, 24):
+        for k in range(n // 7 + 1):
+            for bad in itertools.combinations(range(1, n - 1), k):
+                intact = [p for p in range(n - SHINGLE + 1) if not any(p <= b < p + SHINGLE for b in bad)]
+                worst = max(worst, min(b - a for a, b in itertools.pairwise(intact)))
+    assert worst == prefix_reach(18, 7) == 16
+    assert prefix_reach(18, 6) is None and prefix_reach(18, 4) is None
+
+
+def test_lax_rate_keeps_every_shingle(spark):
+    w = item(11, 18).split()
+    part = ["other" if k in (5, 12) else x for k, x in enumerate(w)]
+    docs = [(0, " ".join(part)), (1, " ".join(w)), (2, " ".join(w))]
+    assert found(spark, docs, [(7, " ".join(w))], rate=6) == {(d, 7) for d in range(3)}

@@ -1,8 +1,8 @@
 """Evaluation texts leaking into a corpus: every document holding a passage of an item, with the item.
 
 Prefix-filtered set join over shingles of five words. An item's windows need only be looked up by their rarest shingles
-(rarity counted over the whole corpus), so the shingle that is the commonest of every window it lies in is left out; what a
-match of the asked length and tolerance leaves intact still hits the rest. Documents and items are joined on these prefix
+(rarity counted over the whole corpus), so a shingle commoner than all others within reach of it is left out. The reach is such
+that every match of the asked length and tolerance leaves two shingles intact within it, of which one is kept. Documents and items are joined on these prefix
 shingles, bounded by length and position, and verified exactly by alignment over item-sized windows.
 
 Items are a stated query set. They are taken in blocks of items_per_block, each against all documents; within a block the
@@ -87,6 +87,23 @@ def aligned(text: np.ndarray, item: np.ndarray, shifts: np.ndarray, span: int, r
     return 0
 
 
+def prefix_reach(span: int, rate: int) -> int | None:
+    """Within how many places every passage the rule allows has two intact shingles; None if one may have fewer than two.
+
+    k altered words cut a passage of n item words into k + 1 runs, which hold c >= n - k - (SHINGLE - 1) * (k + 1) shingles at
+    n - SHINGLE + 1 places, so two of them lie within (n - SHINGLE) / (c - 1). The shortest passage for each k is the worst.
+    For growing k the bound falls to rate / (rate - SHINGLE), so few k need a look.
+    """
+    reach = 1
+    for k in range(100):
+        n = max(span, rate * k)
+        c = n - k - (SHINGLE - 1) * (k + 1)
+        if c < 2:
+            return None
+        reach = max(reach, (n - SHINGLE) // (c - 1))
+    return reach
+
+
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", span: int = 18, rate: int = 7, items_per_block: int = 20_000
 ) -> DataFrame:
@@ -94,8 +111,7 @@ def leaked_items(
 
     Case, punctuation, mark-up, escapes, line and cell breaks and invisible characters don't count (words.words). NULL and
     empty texts hold nothing; items of fewer words than span can't leak; NULL ids are passed over. Repeated documents and
-    items give their pairs once per id. Empty tables give no rows. Every window of span words or more that the rule allows
-    leaves at least two of its shingles intact, so no candidate is lost by the prefix filter.
+    items give their pairs once per id. Empty tables give no rows. The prefix filter loses no candidate (prefix_reach).
     """
     listed = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
     blocks = max(1, math.ceil(listed.count() / items_per_block))
@@ -167,13 +183,15 @@ def _block(documents: DataFrame, items: DataFrame, doc_id: str, text: str, span:
     near = cut_lineage(near.withColumn("spot", F.monotonically_increasing_id()))
     hits = near.select("doc", "spot", F.explode(F.arrays_zip("at", "codes")).alias("h")).select("doc", "spot", F.col("h.at").alias("at"), F.col("h.codes").alias("code"))
     frequency = hits.select("doc", "code").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("docs"))
-    # Shingles in the order of rarity: the commonest of every window of span words it lies in is no prefix shingle.
-    reach = span - SHINGLE
-    around = W.partitionBy("item").orderBy("place")
-    rank = F.struct("docs", "code")
-    ranked = shingles.join(frequency, "code").withColumn("rank", rank)
-    ranked = ranked.withColumn("others", F.greatest(F.max("rank").over(around.rangeBetween(-reach, -1)), F.max("rank").over(around.rangeBetween(1, reach))))
-    prefix = ranked.where(F.col("others").isNull() | (F.col("rank") <= F.col("others"))).select("item", "place", "code")
+    # Shingles in the order of rarity: one commoner than all others within reach is no prefix shingle; two such lie further apart.
+    ranked = shingles.join(frequency, "code")
+    reach = prefix_reach(span, rate)
+    if reach is not None:
+        around = W.partitionBy("item").orderBy("place")
+        ranked = ranked.withColumn("rank", F.struct("docs", "code"))
+        ranked = ranked.withColumn("others", F.greatest(F.max("rank").over(around.rangeBetween(-reach, -1)), F.max("rank").over(around.rangeBetween(1, reach))))
+        ranked = ranked.where(F.col("others").isNull() | (F.col("rank") <= F.col("others")))
+    prefix = ranked.select("item", "place", "code")
     candidates = hits.join(prefix, "code").groupBy("spot", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
 
     @F.pandas_udf("boolean")
