@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tidemark.kernels.hampel import rolling_median, run_lengths
+from tidemark.kernels.hampel import rolling_median, run_lengths, usual_movement
 from tidemark.operators.implausible import Bounds, implausible_readings
 
 SCHEMA = "reading_id long, symbol string, ts timestamp, close double, source string, t int, v string, kind string"
@@ -56,3 +56,19 @@ def test_kernel():
     x = np.array([1.0, 2, 9, 3, 4])
     assert rolling_median(x, 1).tolist() == [1.5, 2, 3, 4, 3.5] and rolling_median(np.array([]), 3).tolist() == []
     assert [a.tolist() for a in run_lengths(np.array([1, 1, 2, 2, 2, 3]))] == [[0, 2, 5], [2, 3, 1]]
+
+
+def test_many_spikes_don_t_hide_each_other(spark):
+    v = walk(3000, 3)
+    spikes = list(range(20, 2980, 10))  # one reading in ten
+    v[spikes] *= 1.03
+    rows = [("A", k, float(x)) for k, x in enumerate(v)]
+    assert flags(spark, rows) == {(k, "spike") for k in spikes}
+
+
+def test_scale_is_the_median_absolute_deviation():
+    dev = np.random.default_rng(1).normal(0, 2, 5001)
+    assert usual_movement(dev, 0.0) == pytest.approx(1.4826 * np.median(np.abs(dev)))
+    dev[:2000] = 1000.0
+    assert 2 < usual_movement(dev, 0.0) < 7
+    assert usual_movement(np.r_[np.zeros(90), np.ones(10)], 0.0) > 0 and usual_movement(np.zeros(9), 2.0) == 0.6

@@ -9,6 +9,8 @@ import numpy as np
 
 #: Mean absolute deviation of a normal variable, times this, is its standard deviation.
 MEAN_TO_SIGMA = 1.2533
+#: The same of the median absolute deviation.
+MAD_TO_SIGMA = 1.4826
 
 
 def rolling_median(x: np.ndarray, half: int) -> np.ndarray:
@@ -35,17 +37,21 @@ def deviations(x: np.ndarray, half: int) -> np.ndarray:
 
 
 def usual_movement(dev: np.ndarray, step: float, calm_share: float = 0.98) -> float:
-    """Robust scale of the deviations: mean of their smallest calm_share, so that spikes don't widen it; not below 0.3 steps.
+    """Robust scale of the deviations: their median size (MAD) as a standard deviation; not below 0.3 steps.
 
-    For shares well under 1 the mean is scaled up to what it is for all of a normal variable.
+    Where more than half of them are 0, which says nothing on the rest, it is the mean of their smallest calm_share. For shares
+    well under 1 that mean is scaled up to what it is for all of a normal variable.
     """
     size = np.abs(dev)
     if not len(size):
         return 0.0
-    calm = size[size <= np.quantile(size, calm_share)]
-    z = NormalDist().inv_cdf(0.5 + calm_share / 2)
-    whole = calm_share / (1 - math.exp(-z * z / 2)) if calm_share < 0.95 else 1.0
-    return max(MEAN_TO_SIGMA * whole * float(calm.mean()), 0.3 * step)
+    scale = MAD_TO_SIGMA * float(np.median(size))
+    if scale == 0:
+        calm = size[size <= np.quantile(size, calm_share)]
+        z = NormalDist().inv_cdf(0.5 + calm_share / 2)
+        whole = calm_share / (1 - math.exp(-z * z / 2)) if calm_share < 0.95 else 1.0
+        scale = MEAN_TO_SIGMA * whole * float(calm.mean())
+    return max(scale, 0.3 * step)
 
 
 def smallest_step(x: np.ndarray) -> float:

@@ -108,8 +108,9 @@ def implausible_readings(
     reading (same source, time and value) are judged once and flagged together. NULL and NaN are never flagged, break no
     run and are no neighbours; rows without source or time are only held against the bounds. An empty table, a source with
     one reading and a constant source give no flags; ties in time are ordered by value. A row may appear under two kinds.
-    least_scale is a floor under a source's scale, for sources that hardly move; calm_share is the share of the deviations that
-    make up the scale, to be lowered where sources are short and several readings may be wrong. log_scale needs bounds that exclude values <= 0. Blocks of about block_rows readings have margins of a fourth on either
+    The scale is the median absolute deviation; least_scale is a floor under it, for sources that hardly move; calm_share is the
+    share of the deviations whose mean is taken where their median is 0, to be lowered where sources are short and several
+    readings may be wrong. log_scale needs bounds that exclude values <= 0. Blocks of about block_rows readings have margins of a fourth on either
     side; a run is followed at most that far across a block's border, further than any threshold.
     """
     if log_scale and not (bounds.low is not None and (bounds.low > 0 or bounds.low == 0 and bounds.low_open)):
