@@ -61,7 +61,7 @@ class Hmm:
         return Hmm(self.start[o], self.move[np.ix_(o, o)], self.mean[o], self.var[o])
 
 
-def fit_hmm(x: np.ndarray, states: int, rounds: int = 60, tolerance: float = 1e-4) -> tuple[Hmm, float]:
+def fit_hmm(x: np.ndarray, states: int, rounds: int = 200, tolerance: float = 1e-4) -> tuple[Hmm, float]:
     """EM from a start that cuts the values by their distance from the median; variances stay above a thousandth of x's."""
     x = np.asarray(x, float)
     spread = max(float(x.var()), 1e-12)
@@ -93,7 +93,7 @@ def choose_states(x: np.ndarray, most: int = 5, folds: int = 5) -> dict[int, flo
         for f in range(folds):
             a = len(x) - (folds - f) * size
             if size > 0 and a >= 10 * k:
-                model, _ = fit_hmm(x[:a], k, rounds=25)
+                model, _ = fit_hmm(x[:a], k, rounds=100)
                 scores.append(model.forward_backward(x[a : a + size])[2] / size)
         if scores:
             out[k] = float(np.mean(scores))

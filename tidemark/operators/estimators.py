@@ -187,7 +187,7 @@ def hidden_regimes(returns: DataFrame, states: int = 4) -> DataFrame:
         out["loglik"] = loglik
         return out
 
-    return per_series(_known(returns), one, "ts date, value double, state int, p array<double>, move array<double>, loglik double")
+    return per_series(spread(_known(returns), "series_id"), one, "ts date, value double, state int, p array<double>, move array<double>, loglik double")
 
 
 def regimes_of_new(returns: DataFrame, new: DataFrame, states: int = 4) -> DataFrame:
@@ -211,7 +211,7 @@ def state_scores(returns: DataFrame, most: int = 5) -> DataFrame:
     def one(_: str, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(sorted(hmm.choose_states(rows["value"].to_numpy(), most).items()), columns=["states", "score"])
 
-    return per_series(_known(returns), one, "states int, score double")
+    return per_series(spread(_known(returns), "series_id"), one, "states int, score double")
 
 
 def current_regime(hidden: DataFrame, names: DataFrame, horizon: int = 14) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.align import wide
 
 
-def fit_panel(features: DataFrame, names: list[str], target: str, rounds: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def fit_panel(features: DataFrame, names: list[str], target: str, rounds: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Predictions (entity, quarter, actual, prediction) and importances (feature, importance).
 
     features: entity, quarter, name, value in long form; names: the features used, a stated list; missing ones are filled

@@ -111,7 +111,7 @@ def regime_of(prices: np.ndarray) -> str:
     if len(prices) < 60 or (prices <= 0).any():
         return "unknown"
     r = np.diff(np.log(prices))
-    model, _ = hmm.fit_hmm(r, 4, rounds=15)
+    model, _ = hmm.fit_hmm(r, 4)
     state = int(model.forward_backward(r)[0][-1].argmax())
     calm = "bull" if model.mean[0] > 0 else "sideways"
     second = "sideways" if calm == "bull" else ("bull" if model.mean[1] > 0 else "bear")
