@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 from tidemark.model import finite
 from tidemark.operators.dependency_tree import fit_tree, posterior_modes
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, small
 
 # What stands for "missing" in text cells, after trimming and lower case.
 MISSING_TEXT = ("", "-", "--", "?", "??", "???", ".", "n/a", "na", "n.a.", "#n/a", "nan", "none", "null", "nil", "<na>", "missing", "unknown", "undefined", "tbd", "not available")
 #: Names a reader of headerless files makes up.
 MISSING_PATTERN = r"(?i)^(unnamed(:.*)?|feature_?\??|column_?\??|var_?\??)$"
-# Numbers used as codes for "missing". They count as such only far outside the series' own range.
-MISSING_NUMBERS = (-99.0, -999.0, -9999.0, -99999.0, -999999.0, -99.99, -999.99, -9999.99, 999.99, 9999.0, 9999.99, 99999.0, 999999.0)
-#: Magnitudes from which a number is a fill value of some file format, whatever the series.
-FILL_MAGNITUDE = 1e9
+#: Fences of a group of numbers: this many quartile distances beyond the quartiles.
+FAR = 3
+#: Distance from the median, in quartile distances, from which a number needs no second occurrence to be a fill value.
+BEYOND = 100
+#: Share of the series (and at least two of them) in which a far number must recur to be a fill value.
+RECURS = 1e-3
 BINS = 24
 
 
@@ -41,7 +43,7 @@ def fill_panel(
 ) -> DataFrame:
     """row_id, entity, name, value with every missing cell filled, and entity_filled, name_filled, value_filled, confidence.
 
-    A cell is missing if NULL, NaN, infinite, blank, a placeholder, or a fill number; see real_text and missing_number.
+    A cell is missing if NULL, NaN, infinite, blank, a placeholder, or a fill number; see real_text and without_fill_codes.
     Duplicates are filled each for themselves. A field without any real cell in the whole table stays NULL, marked as
     filled. Rows lacking load, column, frequency or date are filled from what evidence they have. Ties go to the greater
     value. An empty table gives no rows; other columns are ignored, whatever their names.
@@ -55,7 +57,7 @@ def fill_panel(
     known = _fill(base, ("load", "slot", "freq", "entity", "name"), "entity")
     known = known.withColumn("series", F.concat_ws("|", "entity", "col_no"))
     known = cut_lineage(_fill(known, ("load", "slot", "series", "freq", "name"), "name"))
-    known = _missing_numbers(known)
+    known = without_fill_codes(known).withColumn("value_filled", F.col("v").isNull())
     return _fill_values(known).select("row_id", "entity", "name", "value", "entity_filled", "name_filled", "value_filled", "confidence")
 
 
@@ -70,20 +72,41 @@ def _fill(rows: DataFrame, fields: tuple[str, ...], target: str) -> DataFrame:
     return rows.where(F.col(target).isNotNull()).unionByName(filled)
 
 
-def _missing_numbers(rows: DataFrame) -> DataFrame:
-    """Adds v: the number, NULL if it is a fill value.
+def _outside(v: Column, quartiles: Column, times: float) -> Column:
+    """v lies times quartile distances beyond the quartiles; that distance counts as a hundredth of the median at least."""
+    width = F.greatest(quartiles[2] - quartiles[0], F.abs(quartiles[1]) / 100)
+    return (v < quartiles[0] - times * width) | (v > quartiles[2] + times * width)
 
-    A code counts as one if it lies 5 interquartile ranges off the median of the series' other numbers; of the name's, in a
-    series that holds only codes; and always if there are no others.
+
+def _far_off(v: Column, quartiles: Column, times: float) -> Column:
+    return F.abs(v - quartiles[1]) > times * F.greatest(quartiles[2] - quartiles[0], F.abs(quartiles[1]) / 100)
+
+
+def without_fill_codes(rows: DataFrame) -> DataFrame:
+    """Adds v: the number raw, NULL where it is a fill value. Needs series, name and raw.
+
+    Which numbers stand for "missing" is read off the data. A number beyond the range of its name (FAR quartile distances
+    beyond the quartiles) that recurs in at least two series and RECURS of all series is a code, for measurements far off
+    don't agree to the last digit; a cell with a code is missing if it lies beyond the range of its own series as well, taken
+    without codes, or if the series holds nothing else. A number BEYOND quartile distances off both the name's and the
+    series' median is a fill value even if it occurs once. Quartiles bear up to a quarter of fill values.
     """
-    plain = F.when(F.abs("raw") < FILL_MAGNITUDE, F.col("raw"))
-    rows = rows.withColumn("plain", plain).withColumn("is_code", F.col("plain").isin(*MISSING_NUMBERS))
-    quartiles = F.percentile_approx("plain", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000)
-    others = rows.where(F.col("plain").isNotNull() & ~F.col("is_code"))
-    of_series, of_name = others.groupBy("series").agg(quartiles.alias("q")), others.groupBy("name").agg(quartiles.alias("q_name"))
-    rows = rows.join(of_series, "series", "left").join(of_name, "name", "left").withColumn("q", F.coalesce("q", "q_name"))
-    coded = F.col("is_code") & F.coalesce(F.abs(F.col("plain") - F.col("q")[1]) > 5 * (F.col("q")[2] - F.col("q")[0]), F.lit(True))
-    return rows.withColumn("v", F.when(~coded, F.col("plain"))).withColumn("value_filled", F.col("v").isNull()).drop("q", "q_name", "plain", "is_code")
+    quartiles = F.percentile_approx("raw", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
+    known = rows.where("raw is not null")
+    of_name = small(known.groupBy("name").agg(quartiles.alias("q_name")))
+    ranged = known.join(of_name.withColumnRenamed("name", "n_"), F.col("name").eqNullSafe(F.col("n_"))).drop("n_")
+    series = known.select("series").distinct().count()
+    codes = small(
+        ranged.where(_outside(F.col("raw"), F.col("q_name"), FAR)).groupBy("raw").agg(F.count_distinct("series").alias("in_series"))
+        .where(F.col("in_series") >= max(2, RECURS * series)).select(F.col("raw").alias("code"))
+    )
+    marked = ranged.join(codes, F.col("raw") == F.col("code"), "left")
+    of_series = marked.where("code is null").groupBy("series").agg(quartiles.alias("q"))
+    judged = marked.join(of_series, "series", "left")
+    coded = F.col("code").isNotNull() & _outside(F.col("raw"), F.col("q_name"), FAR) & F.coalesce(_outside(F.col("raw"), F.col("q"), FAR), F.lit(True))
+    lone = _far_off(F.col("raw"), F.col("q_name"), BEYOND) & F.coalesce(_far_off(F.col("raw"), F.col("q"), BEYOND), F.lit(True))
+    judged = judged.withColumn("v", F.when(~(coded | lone), F.col("raw"))).drop("q", "q_name", "code")
+    return judged.unionByName(rows.where("raw is null").withColumn("v", F.lit(None).cast("double")))
 
 
 def _fill_values(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.model import table, usable
+from tidemark.functions.spelling import keys_of
+from tidemark.model import finite, table, usable
+from tidemark.operators.panel_impute import without_fill_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,29 +86,53 @@ def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy(F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("ts")).agg((F.sum(F.col("o_totalprice").cast("decimal(28,2)")) / F.count("o_totalprice")).cast("double").alias("value"))
 
 
-PANEL_NAMES = "('GDP_growth','PMI','jobless_claims','cpi_yoy','retail_turnover','credit_spread')"
+# The panel's real names; the regimes' labels, and words that say nothing about which regime it is.
+PANEL_NAMES = ("GDP_growth", "PMI", "jobless_claims", "cpi_yoy", "retail_turnover", "credit_spread")
+LABELS = ("bull", "bear", "crisis", "sideways", "unknown")
+LABEL_FILLERS = ("market", "regime")
 
 
 def panel_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_id, name, freq, ts, value: the panel's rows with real content, the last received of a day."""
-    rows = table(spark, sf_dir, "panel").select("entity_id", "name", "freq", F.col("obs_date").alias("ts"), usable("value").alias("v"), "received_at", "obs_id")
-    rows = rows.where(f"entity_id rlike '^N[A-Z]{{4}}$' and name in {PANEL_NAMES} and ts is not null and v is not null and abs(v) < 900")
-    return rows.groupBy(F.concat_ws("|", "entity_id", "name").alias("series_id"), "name", "freq", "ts").agg(F.max_by("v", F.struct("received_at", "obs_id")).alias("value"))
-
-
-PANEL = f"""panel_series AS (
-  SELECT entity_id || '|' || name AS series_id, name, freq, obs_date AS ts, arg_max(value, (coalesce(received_at, TIMESTAMP '0001-01-01'), obs_id)) AS value
-  FROM panel WHERE regexp_full_match(entity_id, 'N[A-Z]{{4}}') AND name IN {PANEL_NAMES} AND obs_date IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND abs(value) < 900
+    rows = table(spark, sf_dir, "panel").select("entity_id", "name", "freq", F.col("obs_date").alias("ts"), finite("value").alias("raw"), "received_at", "obs_id")
+    rows = rows.where(F.col("entity_id").rlike("^N[A-Z]{4}$") & F.col("name").isin(*PANEL_NAMES) & F.expr("ts is not null and raw is not null"))
+    rows = without_fill_codes(rows.withColumn("series", F.concat_ws("|", "entity_id", "name"))).where("v is not null")
+    return rows.groupBy(F.col("series").alias("series_id"), "name", "freq", "ts").agg(F.max_by("v", F.struct("received_at", "obs_id")).alias("value"))
+
+
+#: Fences of a group of numbers, as in panel_impute: quartiles, and their distance but at least a hundredth of the median.
+FENCE = "quantile_cont(v, 0.25) AS {0}a, quantile_cont(v, 0.75) AS {0}b, quantile_cont(v, 0.5) AS {0}m, greatest(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), abs(quantile_cont(v, 0.5)) / 100) AS {0}w"
+PANEL = f"""cells AS (
+  SELECT entity_id || '|' || name AS series_id, name, freq, obs_date AS ts, value AS v, received_at, obs_id FROM panel
+  WHERE regexp_full_match(entity_id, 'N[A-Z]{{4}}') AND name IN {PANEL_NAMES} AND obs_date IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)),
+name_range AS (SELECT name, {FENCE.format("n")} FROM cells GROUP BY 1),
+codes AS (SELECT v FROM cells JOIN name_range USING (name) WHERE v < na - 3 * nw OR v > nb + 3 * nw GROUP BY v
+  HAVING count(DISTINCT series_id) >= greatest(2, (SELECT count(DISTINCT series_id) FROM cells) / 1000)),
+series_range AS (SELECT series_id, {FENCE.format("s")} FROM cells WHERE v NOT IN (SELECT v FROM codes) GROUP BY 1),
+panel_series AS (
+  SELECT series_id, name, freq, ts, arg_max(v, (coalesce(received_at, TIMESTAMP '0001-01-01'), obs_id)) AS value
+  FROM cells JOIN name_range USING (name) LEFT JOIN series_range USING (series_id)
+  WHERE NOT ((v IN (SELECT v FROM codes) AND (v < na - 3 * nw OR v > nb + 3 * nw) AND coalesce(v < sa - 3 * sw OR v > sb + 3 * sw, true))
+    OR (abs(v - nm) > 100 * nw AND coalesce(abs(v - sm) > 100 * sw, true)))
   GROUP BY 1, 2, 3, 4)"""
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series_id, ts, label: the plainly spelled regime labels, the last recorded of a day."""
-    rows = table(spark, sf_dir, "regime_history").select("symbol", F.col("ts").cast("date").alias("ts"), F.lower(F.trim("regime")).alias("label"), "recorded_at", "row_id")
-    rows = rows.where("symbol is not null and ts is not null and label in ('bull','bear','crisis','sideways')")
-    return rows.groupBy(F.col("symbol").alias("series_id"), "ts").agg(F.max_by("label", F.struct("recorded_at", "row_id")).alias("label"))
-
-
-REGIMES = """labels AS (
-  SELECT symbol AS series_id, CAST(ts AS DATE) AS ts, arg_max(lower(trim(regime)), (coalesce(recorded_at, TIMESTAMP '0001-01-01'), row_id)) AS label
-  FROM regime_history WHERE symbol IS NOT NULL AND ts IS NOT NULL AND lower(trim(regime)) IN ('bull','bear','crisis','sideways') GROUP BY 1, 2)"""
+    """series_id, ts, label: the regime of a day by its last recorded row, whatever its spelling; NULL and blank labels are none."""
+    rows = table(spark, sf_dir, "regime_history").select("symbol", F.col("ts").cast("date").alias("ts"), F.col("regime").alias("spelling"), "recorded_at", "row_id")
+    rows = rows.where("symbol is not null and ts is not null").where(F.col("spelling").rlike(r"\S"))
+    last = rows.groupBy(F.col("symbol").alias("series_id"), "ts").agg(F.max_by("spelling", F.struct("recorded_at", "row_id")).alias("spelling"))
+    return last.select("series_id", "ts", keys_of(F.col("spelling"), LABELS, LABEL_FILLERS).alias("label"))
+
+
+REGIMES = r"""spelt AS (
+  SELECT symbol AS series_id, CAST(ts AS DATE) AS ts, recorded_at, row_id,
+    regexp_replace(regexp_replace(' ' || regexp_replace(lower(strip_accents(regime)), '[^a-z0-9]+', ' ', 'g') || ' ', ' (market|regime) ', ' ', 'g'), ' ', '', 'g') AS bare
+  FROM regime_history WHERE symbol IS NOT NULL AND ts IS NOT NULL AND trim(regime, E' \t\n\r') <> ''),
+nearest AS (
+  SELECT bare, list_sort([{'d': damerau_levenshtein(bare, l.name), 'k': l.k, 'name': l.name, 'most': l.most} FOR l IN
+    [{'k': 0, 'name': 'bull', 'most': 1}, {'k': 1, 'name': 'bear', 'most': 1}, {'k': 2, 'name': 'crisis', 'most': 2}, {'k': 3, 'name': 'sideways', 'most': 2}, {'k': 4, 'name': 'unknown', 'most': 2}]])[1] AS b
+  FROM (SELECT DISTINCT bare FROM spelt)),
+labels AS (
+  SELECT series_id, ts, arg_max(CASE WHEN b.d <= b.most THEN b.name ELSE bare END, (coalesce(recorded_at, TIMESTAMP '0001-01-01'), row_id)) AS label
+  FROM spelt JOIN nearest USING (bare) GROUP BY 1, 2)"""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.model import day_text, table
 from tidemark.operators.implausible import Bounds, implausible_readings
-from tidemark.operators.panel_impute import FILL_MAGNITUDE, MISSING_NUMBERS, fill_panel
+from tidemark.operators.panel_impute import fill_panel
 from tidemark.operators.regular_grid import regular_grid
 from tidemark.operators.rolling_totals import rolling_totals
+from tidemark.plans.base import FENCE, PANEL_NAMES
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +57,6 @@ SELECT symbol, win_days, strftime(d, '%Y-%m-%d') AS bar_day, CAST(total AS DOUBL
 """
 
 
-# The panel's real names.
-PANEL_NAMES = ("GDP_growth", "PMI", "jobless_claims", "cpi_yoy", "retail_turnover", "credit_spread")
-
-
 def _filled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_panel(table(spark, sf_dir, "panel"), valid_name="^(" + "|".join(PANEL_NAMES) + ")$")
 
@@ -77,10 +74,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 P2_FOUND_SQL = f"""
 WITH c AS (
-  SELECT obs_id, regexp_replace(entity_id, '^\\s+|\\s+$', '', 'g') AS e, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS m, value AS v FROM panel)
+  SELECT obs_id, load_id, column_no, regexp_replace(entity_id, '^\\s+|\\s+$', '', 'g') AS e, regexp_replace(name, '^\\s+|\\s+$', '', 'g') AS m, value AS v FROM panel),
+known AS (SELECT load_id || '|' || column_no AS series_id, m, v, obs_id FROM c WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
+name_range AS (SELECT m, {FENCE.format("n")} FROM known WHERE m IN {PANEL_NAMES} GROUP BY 1),
+codes AS (SELECT v FROM known JOIN name_range USING (m) WHERE v < na - 3 * nw OR v > nb + 3 * nw GROUP BY v HAVING count(DISTINCT series_id) >= 2 OR max(abs(v - nm) / nw) > 100)
 SELECT obs_id, 'entity_id' AS field FROM c WHERE NOT coalesce(regexp_full_match(e, 'N[A-Z]{{4}}'), false)
 UNION ALL SELECT obs_id, 'name' FROM c WHERE NOT coalesce(m IN {PANEL_NAMES}, false)
-UNION ALL SELECT obs_id, 'value' FROM c WHERE v IS NULL OR isnan(v) OR abs(v) >= {FILL_MAGNITUDE} OR v IN {MISSING_NUMBERS}
+UNION ALL SELECT obs_id, 'value' FROM c WHERE v IS NULL OR isnan(v) OR isinf(v) OR v IN (SELECT v FROM codes)
 """
 
 

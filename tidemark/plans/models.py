@@ -9,7 +9,7 @@ from tidemark.model import table
 from tidemark.operators.fracdiff import ffd_weights
 from tidemark.operators import align, backtest, causality, diagnostics, estimators, ordered, pipeline, regimes as regime_ops, report
 from tidemark.plans.analysis import ORIGINS, START, END, price_volume
-from tidemark.plans.base import CLOSES, NUDGE, PANEL, REGIMES, Registry, closes, panel_series, regimes, shown
+from tidemark.plans.base import CLOSES, NUDGE, PANEL, PANEL_NAMES, REGIMES, Registry, closes, panel_series, regimes, shown
 from tidemark.sources import catalog
 from tidemark.streaming import windows
 
@@ -141,17 +141,17 @@ def mice_panel(spark, sf_dir):
     return shown(estimators.chained_imputation(_panel_features(spark, sf_dir), "entity", "quarter", "name", "value", [*NAMES, TARGET]))
 
 
-@R.query("mean_impute", f"""WITH p AS (SELECT entity_id, obs_date, CASE WHEN isnan(value) OR abs(value) > 900 THEN NULL ELSE value END AS v FROM panel WHERE regexp_full_match(entity_id, 'N[A-Z]{{4}}') AND name = 'PMI')
-SELECT entity_id, CAST(obs_date AS VARCHAR) AS obs_date, round_even(sum(coalesce(v, m)) , 5) AS filled FROM (SELECT *, avg(v) OVER () AS m FROM p) GROUP BY 1, 2""")
+@R.query("mean_impute", f"""WITH {PANEL}, wide AS (SELECT split_part(series_id, '|', 1) AS entity, ts, name, avg(value) AS v FROM panel_series GROUP BY 1, 2, 3), m AS (SELECT name, avg(v) AS mean FROM wide GROUP BY 1)
+SELECT entity, CAST(ts AS VARCHAR) AS ts, name, round_even(coalesce(v, mean), 5) AS filled FROM (SELECT DISTINCT entity, ts FROM wide) CROSS JOIN m LEFT JOIN wide USING (entity, ts, name)""")
 def mean_impute(spark, sf_dir):
-    """M7: the mean as first guess, by the library's imputer."""
+    """M7: the mean as first guess of every column, by the library's imputer."""
     from pyspark.ml.feature import Imputer
 
-    from tidemark.model import usable
-
-    p = table(spark, sf_dir, "panel").where("entity_id rlike '^N[A-Z]{4}$' and name = 'PMI'").select("entity_id", "obs_date", usable("value").alias("v")).withColumn("v", F.when(F.abs("v") <= 900, F.col("v")))
-    filled = Imputer(inputCols=["v"], outputCols=["filled"], strategy="mean").fit(p).transform(p)
-    return shown(filled.groupBy("entity_id", "obs_date").agg(F.sum("filled").alias("filled")), 5)
+    s = panel_series(spark, sf_dir).withColumn("entity", F.split("series_id", "\\|")[0])
+    wide = s.groupBy("entity", "ts").pivot("name", list(PANEL_NAMES)).agg(F.avg("value"))
+    filled = Imputer(inputCols=list(PANEL_NAMES), outputCols=[f"{n}_filled" for n in PANEL_NAMES], strategy="mean").fit(wide).transform(wide)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}_filled").alias("filled")) for n in PANEL_NAMES]))
+    return shown(filled.select("entity", "ts", each.alias("x")).select("entity", "ts", "x.name", "x.filled"), 5)
 
 
 @R.query("gbt_panel")

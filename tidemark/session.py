@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,13 +36,19 @@ def build_session(app: str = "tidemark", cpus: int | None = None, **conf: str) -
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written copy.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a folder of our own is set only where none is named.
+    The folder is the one the cluster names in spark.checkpoint.dir. Where none is named, a local master (tests) gets a folder
+    of its own; on a cluster, whose executors share no local folder, that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        if not named and not context.master.startswith(("local[", "local ")) and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
@@ -49,6 +57,11 @@ def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` written once, and broadcast where it is joined if it has proved to have at most ``max_rows`` rows."""
+    return broadcast_bounded(cut_lineage(df), max_rows)
+
+
 _SHIPPED: set[str] = set()
 
 
