@@ -24,19 +24,29 @@ UNSEEN = 1e-4
 TIE = 2e-3
 
 
+#: Count tables of at most that many rows are broadcast where they are joined.
+BROADCAST_ROWS = 200_000
+
+
 @dataclass(frozen=True)
 class Tree:
-    """fields in order; edges (i, j, information); counts: i, j, x, y, n for every edge in both directions."""
+    """fields in order; edges (i, j, information); counts: i, j, x, y, n, n_x (how often x occurs on the edge), both directions."""
 
     fields: tuple[str, ...]
     edges: tuple[tuple[int, int, float], ...]
     counts: DataFrame
+    compact: bool
 
     def neighbours(self, i: int) -> list[int]:
         """Fields beside field i, most informative first."""
         found = [(w, b if a == i else a) for a, b, w in self.edges if i in (a, b)]
         return [n for _, n in sorted(found, key=lambda p: (-p[0], p[1]))]
 
+    def edge(self, i: int, j: int) -> DataFrame:
+        """x of field i, y of field j, n and n_x; broadcast if all counts together have proved to be few."""
+        rows = self.counts.where((F.col("i") == i) & (F.col("j") == j)).select("x", "y", "n", "n_x")
+        return F.broadcast(rows) if self.compact else rows
+
 
 def fit_tree(rows: DataFrame, fields: tuple[str, ...]) -> Tree:
     """Fit the tree on string fields; NULL is missing and counts for no pair. Without any rows the tree has no counts."""
@@ -44,16 +54,19 @@ def fit_tree(rows: DataFrame, fields: tuple[str, ...]) -> Tree:
     pairs = cut_lineage(
         rows.select(F.explode(F.array(*entries)).alias("p")).select("p.*").where("x is not null and y is not null").groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     )
-    nlogn = lambda df: df.groupBy("i", "j").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"), F.count(F.lit(1)).alias("cells"))
-    both = {(r.i, r.j): r for r in nlogn(pairs).collect()}
-    left = {(r.i, r.j): r for r in nlogn(pairs.groupBy("i", "j", "x").agg(F.sum("n").alias("n"))).collect()}
-    right = {(r.i, r.j): r for r in nlogn(pairs.groupBy("i", "j", "y").agg(F.sum("n").alias("n"))).collect()}
+    # Joint and marginal counts side by side, so that all entropies come from one pass over the pairs.
+    nothing = F.lit(None).cast("string")
+    sides = [F.struct(F.lit(side).alias("side"), x.alias("a"), y.alias("b")) for side, x, y in (("xy", F.col("x"), F.col("y")), ("x", F.col("x"), nothing), ("y", nothing, F.col("y")))]
+    cells = pairs.select("i", "j", "n", F.explode(F.array(*sides)).alias("s")).groupBy("i", "j", "s.side", "s.a", "s.b").agg(F.sum("n").alias("n"))
+    sums = cells.groupBy("i", "j", "side").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"), F.count(F.lit(1)).alias("cells"))
+    of = {(r.i, r.j, r.side): r for r in sums.collect()}  # three rows per pair of fields
     weighed = []
-    for (i, j), xy in both.items():
-        n, x, y = xy.total, left[i, j], right[i, j]
-        information = math.log(n) - (x.s + y.s - xy.s) / n
-        bias = (xy.cells - x.cells - y.cells + 1) / (2 * n)  # Miller and Madow: many cells look informative by chance
-        weighed.append((information - bias, xy.cells, i, j))
+    for i, j in combinations(range(len(fields)), 2):
+        if (i, j, "xy") in of:
+            xy, x, y = (of[i, j, side] for side in ("xy", "x", "y"))
+            information = math.log(xy.total) - (x.s + y.s - xy.s) / xy.total
+            bias = (xy.cells - x.cells - y.cells + 1) / (2 * xy.total)  # Miller and Madow: many cells look informative by chance
+            weighed.append((information - bias, xy.cells, i, j))
     weighed.sort(key=lambda p: (-round(p[0] / TIE), p[1], p[2], p[3]))
     root = list(range(len(fields)))
 
@@ -70,7 +83,9 @@ def fit_tree(rows: DataFrame, fields: tuple[str, ...]) -> Tree:
     kept = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j, _ in edges]
     one_way = pairs.where(F.struct("i", "j").isin(*kept)) if kept else pairs.limit(0)
     two_way = one_way.unionByName(one_way.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("y").alias("x"), F.col("x").alias("y"), "n"))
-    return Tree(tuple(fields), tuple(edges), cut_lineage(two_way))
+    of_x = two_way.groupBy("i", "j", "x").agg(F.sum("n").alias("n_x"))
+    counts = cut_lineage(two_way.join(of_x, ["i", "j", "x"]))
+    return Tree(tuple(fields), tuple(edges), counts, counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS)
 
 
 def posterior_modes(tree: Tree, rows: DataFrame, target: str) -> DataFrame:
@@ -94,54 +109,43 @@ def posterior_modes(tree: Tree, rows: DataFrame, target: str) -> DataFrame:
     return evidence.join(best, "case_id", "left").crossJoin(F.broadcast(usual)).select(*others, F.coalesce("best", "usual").alias("mode"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def _edge(tree: Tree, i: int, j: int) -> DataFrame:
-    """x of field i, y of field j, n, and how often y and x occur on this edge."""
-    edge = tree.counts.where((F.col("i") == i) & (F.col("j") == j)).select("x", "y", "n")
-    total = edge.groupBy("x").agg(F.sum("n").alias("n_x"))
-    return edge.join(total, "x")
+def _belief(tree: Tree, cases: DataFrame, node: int, parent: int | None, missing: dict[str, int]) -> DataFrame | None:
+    """case_id, x, score (log): what the tree beyond node, seen from parent, says about the missing node's value.
 
-
-def _belief(tree: Tree, evidence: DataFrame, node: int, parent: int | None, missing: dict[str, int]) -> DataFrame | None:
-    """case_id, x, score (log): what the tree beyond node, seen from parent, says about the missing node's value."""
+    A case keeps its fields beside it, so a neighbour that is known says its part by one join with its edge.
+    """
     children = [c for c in tree.neighbours(node) if c != parent]
-    inputs: list[tuple[DataFrame, DataFrame]] = []  # per child: expanded (case_id, x, w) and the cases it speaks for
-    for c in children:
-        edge = _edge(tree, node, c)
-        field = tree.fields[c]
-        seen = evidence.where(F.col(field).isNotNull() & F.col(tree.fields[node]).isNull()).select("case_id", F.col(field).alias("y"))
-        inputs.append((edge, seen))
     if not children:
         return None
+    edges = {c: tree.edge(node, c) for c in children}
     hidden: dict[int, DataFrame] = {}
     for c in children:
         if missing[tree.fields[c]]:
-            deeper = _belief(tree, evidence.where(F.col(tree.fields[c]).isNull()), c, node, missing)
+            deeper = _belief(tree, cases.where(F.col(tree.fields[c]).isNull()), c, node, missing)
             if deeper is not None:
-                hidden[c] = deeper
+                hidden[c] = cut_lineage(deeper)
     candidates = None
-    for c, (edge, seen) in zip(children, inputs, strict=True):
-        offer = seen.join(edge.select("x", "y"), "y").select("case_id", "x")
+    for c in children:
+        offer = cases.select("case_id", F.col(tree.fields[c]).alias("y")).join(edges[c].select("x", "y"), "y").select("case_id", "x")
         if c in hidden:
-            offer = offer.unionByName(hidden[c].select("case_id", F.col("x").alias("y")).join(edge.select("x", "y"), "y").select("case_id", "x"))
+            offer = offer.unionByName(hidden[c].select("case_id", F.col("x").alias("y")).join(edges[c].select("x", "y"), "y").select("case_id", "x"))
         if candidates is None:
             candidates = offer
         else:
             candidates = candidates.unionByName(offer.join(candidates.select("case_id").distinct(), "case_id", "left_anti"))
-    candidates = candidates.distinct()
-    prior = tree.counts.where((F.col("i") == node) & (F.col("j") == children[0])).groupBy("x").agg(F.sum("n").alias("n"))
-    scored = candidates.join(prior, "x", "left").select("case_id", "x", F.log(F.coalesce("n", F.lit(1)).cast("double")).alias("score"))
-    for c, (edge, seen) in zip(children, inputs, strict=True):
-        says = seen.join(edge, "y").select("case_id", "x", (F.col("n") / F.col("n_x")).alias("m"))
-        speaks = seen.select("case_id")
+    prior = edges[children[0]].groupBy("x").agg(F.first("n_x").alias("seen"))
+    scored = candidates.distinct().join(F.broadcast(prior) if tree.compact else prior, "x", "left").join(cases, "case_id")
+    score = F.log(F.coalesce("seen", F.lit(1)).cast("double"))
+    for c in children:
+        says = edges[c].select(F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"), (F.col("n") / F.col("n_x")).alias(f"m{c}"))
+        scored = scored.join(says, (F.col("x") == F.col(f"x{c}")) & (F.col(tree.fields[c]) == F.col(f"y{c}")), "left").drop(f"x{c}", f"y{c}")
+        speaks = F.col(tree.fields[c]).isNotNull()
         if c in hidden:
             weighted = hidden[c].select("case_id", F.col("x").alias("y"), "score")
             high = weighted.groupBy("case_id").agg(F.max("score").alias("high"))
-            indirect = weighted.join(high, "case_id").join(edge, "y").groupBy("case_id", "x").agg(F.sum(F.exp(F.col("score") - F.col("high")) * F.col("n") / F.col("n_x")).alias("m"))
-            says = says.unionByName(indirect)
-            speaks = speaks.unionByName(hidden[c].select("case_id").distinct())
-        speaks = speaks.withColumn("speaks", F.lit(True))
-        scored = (
-            scored.join(says, ["case_id", "x"], "left").join(speaks, "case_id", "left")
-            .select("case_id", "x", (F.col("score") + F.when(F.col("speaks"), F.log(F.greatest(F.coalesce("m", F.lit(UNSEEN)), F.lit(UNSEEN)))).otherwise(0.0)).alias("score"))
-        )
-    return scored
+            indirect = weighted.join(high, "case_id").join(edges[c], "y").groupBy("case_id", "x").agg(F.sum(F.exp(F.col("score") - F.col("high")) * F.col("n") / F.col("n_x")).alias(f"h{c}"))
+            scored = scored.join(indirect, ["case_id", "x"], "left").join(high.select("case_id", F.lit(True).alias(f"spoke{c}")), "case_id", "left")
+            scored = scored.withColumn(f"m{c}", F.coalesce(f"m{c}", f"h{c}"))
+            speaks |= F.coalesce(f"spoke{c}", F.lit(False))
+        score += F.when(speaks, F.log(F.greatest(F.coalesce(f"m{c}", F.lit(UNSEEN)), F.lit(UNSEEN)))).otherwise(0.0)
+    return scored.select("case_id", "x", score.alias("score"))

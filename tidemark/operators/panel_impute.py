@@ -64,7 +64,7 @@ def fill_panel(
 def _fill(rows: DataFrame, fields: tuple[str, ...], target: str) -> DataFrame:
     tree = fit_tree(rows, fields)
     others = [f for f in fields if f != target]
-    modes = posterior_modes(tree, rows, target).select(*[F.col(f).alias(f"e_{f}") for f in others], F.col("mode").alias("the_mode"))
+    modes = small(posterior_modes(tree, rows, target).select(*[F.col(f).alias(f"e_{f}") for f in others], F.col("mode").alias("the_mode")))
     same = F.lit(True)
     for f in others:
         same &= F.col(f).eqNullSafe(F.col(f"e_{f}"))
@@ -131,7 +131,7 @@ def _fill_values(rows: DataFrame) -> DataFrame:
     keyed = cut_lineage(keyed.withColumn("same", F.coalesce("same", F.when(F.col("v").isNotNull(), F.col("bin")))))
     fields = ("bin", "same", "before_bin", "after_bin", "month")
     tree = fit_tree(keyed, fields)
-    modes = posterior_modes(tree, keyed, "bin")
+    modes = small(posterior_modes(tree, keyed, "bin"))
     medians = keyed.where("v is not null").groupBy("series", "bin").agg(F.percentile_approx("v", 0.5, 2000).alias("bin_median"))
     series_median = keyed.where("v is not null").groupBy("series").agg(F.percentile_approx("v", 0.5, 2000).alias("series_median"))
     name_median = keyed.where("v is not null").groupBy("name").agg(F.percentile_approx("v", 0.5, 2000).alias("name_median"))
