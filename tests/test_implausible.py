@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tidemark.kernels.hampel import rolling_median, run_lengths, usual_movement
+from tidemark.kernels.hampel import deviation_bins, rolling_median, run_lengths, smallest_step
 from tidemark.operators.implausible import Bounds, implausible_readings
 
 SCHEMA = "reading_id long, symbol string, ts timestamp, close double, source string, t int, v string, kind string"
@@ -66,9 +66,43 @@ def test_many_spikes_don_t_hide_each_other(spark):
     assert flags(spark, rows) == {(k, "spike") for k in spikes}
 
 
-def test_scale_is_the_median_absolute_deviation():
+def test_deviations_are_counted_in_fine_bins():
     dev = np.random.default_rng(1).normal(0, 2, 5001)
-    assert usual_movement(dev, 0.0) == pytest.approx(1.4826 * np.median(np.abs(dev)))
-    dev[:2000] = 1000.0
-    assert 2 < usual_movement(dev, 0.0) < 7
-    assert usual_movement(np.r_[np.zeros(90), np.ones(10)], 0.0) > 0 and usual_movement(np.zeros(9), 2.0) == 0.6
+    bins, counts = deviation_bins(np.r_[dev, 0.0])
+    assert bins[0] == -(1 << 30) and counts.sum() == 5002
+    middle = bins[np.searchsorted(np.cumsum(counts), 2501)]
+    assert 2 ** ((middle + 0.5) / 1024) == pytest.approx(np.median(np.abs(dev)), rel=1e-3)
+    assert smallest_step(np.array([1.0, 1.0, 1.5, 1.25])) == 0.25 and smallest_step(np.array([2.0])) == float("inf")
+
+
+def brute_force(rows, half=7, z=12.5):
+    """Spikes of each source by the plain definition, without blocks or bins."""
+    found = set()
+    for source in {r[0] for r in rows}:
+        own = sorted({(t, v) for s, t, v in rows if s == source})
+        x = np.log([v for _, v in own])
+        dev = np.array([x[k] - np.median(x[max(0, k - half) : k + half + 1]) for k in range(len(x))])
+        scale = 1.4826 * np.median(np.abs(dev))
+        found |= {(k, "spike") for k, (s, t, v) in enumerate(rows) if s == source and abs(dev[own.index((t, v))]) > z * scale}
+    return found
+
+
+@pytest.mark.parametrize("block_rows", [60, 1000, 5000])
+def test_calm_then_lively_is_judged_by_the_whole_source(spark, block_rows):
+    rng = np.random.default_rng(5)
+    v = np.exp(np.cumsum(np.r_[rng.normal(0, 0.0005, 2000), rng.normal(0, 0.004, 2000)]) + 3)
+    v[rng.choice(4000, 40, replace=False)] *= np.exp(rng.uniform(0.01, 0.06, 40))
+    t = np.r_[np.arange(3000), 3000 + np.arange(1000) // 8]  # a burst: eight readings a second
+    rows = [("A", int(a), float(b)) for a, b in zip(t, v, strict=True)]
+    got = {f for f in flags(spark, rows, block_rows=block_rows) if f[1] == "spike"}
+    assert got == brute_force(rows) and len(got) > 10
+
+
+@pytest.mark.parametrize("block_rows", [10, 64, 4000])
+def test_runs_are_followed_across_any_number_of_blocks(spark, block_rows):
+    v = walk(600, 8)
+    v[100:400] = v[100]
+    v[500:507] = v[500]
+    rows = [("A", k, float(x)) for k, x in enumerate(v)]
+    got = {f for f in flags(spark, rows, block_rows=block_rows) if f[1] == "stuck"}
+    assert got == {(k, "stuck") for k in [*range(101, 400), *range(501, 507)]}

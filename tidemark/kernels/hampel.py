@@ -1,16 +1,13 @@
-"""Numpy kernel of the spike and stuck-value search: one source's readings in time order."""
+"""Numpy kernels of the spike and stuck-value search: one block of a source's readings in time order."""
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
-
 import numpy as np
 
-#: Mean absolute deviation of a normal variable, times this, is its standard deviation.
-MEAN_TO_SIGMA = 1.2533
-#: The same of the median absolute deviation.
-MAD_TO_SIGMA = 1.4826
+#: Bins of absolute deviations: this many to an octave, so a bin is 0.07 % wide.
+BINS_PER_OCTAVE = 1024
+#: Bin of the deviation 0.
+ZERO_BIN = -(1 << 30)
 
 
 def rolling_median(x: np.ndarray, half: int) -> np.ndarray:
@@ -36,28 +33,20 @@ def deviations(x: np.ndarray, half: int) -> np.ndarray:
     return x - rolling_median(x, half)
 
 
-def usual_movement(dev: np.ndarray, step: float, calm_share: float = 0.98) -> float:
-    """Robust scale of the deviations: their median size (MAD) as a standard deviation; not below 0.3 steps.
-
-    Where more than half of them are 0, which says nothing on the rest, it is the mean of their smallest calm_share. For shares
-    well under 1 that mean is scaled up to what it is for all of a normal variable.
-    """
+def deviation_bins(dev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the absolute deviations that occur, in order, and how often each does."""
     size = np.abs(dev)
-    if not len(size):
-        return 0.0
-    scale = MAD_TO_SIGMA * float(np.median(size))
-    if scale == 0:
-        calm = size[size <= np.quantile(size, calm_share)]
-        z = NormalDist().inv_cdf(0.5 + calm_share / 2)
-        whole = calm_share / (1 - math.exp(-z * z / 2)) if calm_share < 0.95 else 1.0
-        scale = MEAN_TO_SIGMA * whole * float(calm.mean())
-    return max(scale, 0.3 * step)
+    bins = np.full(len(size), ZERO_BIN, np.int64)
+    some = size > 0
+    bins[some] = np.floor(np.log2(size[some]) * BINS_PER_OCTAVE).astype(np.int64)
+    return np.unique(bins, return_counts=True)
 
 
 def smallest_step(x: np.ndarray) -> float:
-    """Smallest difference between two different values; 0 if all are equal."""
-    levels = np.unique(x)
-    return float(np.diff(levels).min()) if len(levels) > 1 else 0.0
+    """Smallest difference other than 0 between neighbours in time; infinite if there is none."""
+    steps = np.abs(np.diff(x))
+    steps = steps[steps > 0]
+    return float(steps.min()) if len(steps) else float("inf")
 
 
 def run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
