@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.kernels.hampel import BINS_PER_OCTAVE, ZERO_BIN, deviation_bins, deviations, run_lengths, smallest_step
 from tidemark.model import epoch_us, usable
-from tidemark.session import cut_lineage, small
+from tidemark.session import cut_lineage, small, written
 
 #: Median and mean absolute deviation of a normal variable, times these, are its standard deviation.
 MAD_TO_SIGMA, MEAN_TO_SIGMA = 1.4826, 1.2533
@@ -153,7 +153,8 @@ def implausible_readings(
     rows = readings.select(F.col(source).cast("string").alias("source"), epoch_us(ts).alias("t"), usable(value).alias("v"), F.col(row_id).alias("row_id")).where("v is not null")
     impossible = rows.where(bounds.violated(F.col("v"))).select("row_id", "source", F.lit("impossible").alias("kind"), F.lit(None).cast("double").alias("score"))
     possible = rows.where(~bounds.violated(F.col("v"))).where("source is not null and t is not null").withColumn("v", F.col("v") + 0.0)
-    blocks = _blocks(possible.groupBy("source", "t", "v").agg(F.count(F.lit(1)).alias("copies"), F.max("row_id").alias("row_id")), possible, half_window, block_rows)
+    distinct = possible.groupBy("source", "t", "v").agg(F.count(F.lit(1)).alias("copies"), F.max("row_id").alias("row_id"))
+    blocks = written(_blocks(distinct, possible, half_window, block_rows))
 
     parts = cut_lineage(blocks.groupBy("source", "block").applyInArrow(_summary(log_scale, half_window, least_run), SUMMARY))
     known = parts.select("source", "block").join(_scales(parts, calm_share, least_scale), "source").join(_stuck(parts, run_ratio, least_run), ["source", "block"], "left")
@@ -178,8 +179,9 @@ def _blocks(distinct: DataFrame, possible: DataFrame, half: int, block_rows: int
         possible.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("t0"), F.max("t").alias("t1")).where(F.col("rows") > block_rows)
         .select("source", "t0", F.greatest(F.lit(1), F.expr(f"cast((t1 - t0) * {block_rows / 2} / rows as long)")).alias("width"))
     )
-    whole = distinct.join(large.select("source"), "source", "left_anti").withColumn("block", F.lit(0).cast("long")).withColumn("inner", F.lit(True))
-    bucketed = distinct.join(large, "source").withColumn("bucket", F.expr("(t - t0) div width")).drop("t0", "width")
+    marked = distinct.join(large, "source", "left")
+    whole = marked.where("t0 is null").withColumn("block", F.lit(0).cast("long")).withColumn("inner", F.lit(True))
+    bucketed = marked.where("t0 is not null").withColumn("bucket", F.expr("(t - t0) div width")).drop("t0", "width")
     sizes = bucketed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("size"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("source", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,25 +34,52 @@ def build_session(app: str = "tidemark", cpus: int | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the written copy.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: the one the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Where none is named, a local master (tests) gets a folder
-    of its own; on a cluster, whose executors share no local folder, that is an error.
+    Where none is named, a local master (tests) gets a folder of its own, removed at the end; on a cluster, whose executors
+    share no local folder, that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith(("local[", "local ")) and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if not named:
-            named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
+    directory = context._jsc.sc().getCheckpointDir()
+    if directory.isDefined():
+        return directory.get()
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written copy."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a compressed table: for what is large and read more than once.
+
+    The table lies below the application's checkpoint folder and is removed when the Python process ends.
+    """
+    spark = df.sparkSession
+    folder = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, folder)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended: only a local folder can still be removed
+        shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)
+
+
 def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast of ``df`` only if a bounded count proves it has at most ``max_rows`` rows; else leave it to the optimiser."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
