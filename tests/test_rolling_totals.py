@@ -1,7 +1,12 @@
 import datetime as dt
 import random
+from pathlib import Path
 
-from tidemark.operators.rolling_totals import advance, daily_amounts, empty_state, rolling_totals
+import pytest
+
+from pyspark.errors import PySparkException
+
+from tidemark.operators.rolling_totals import BLOCK_DAYS, RollingStore, advance, daily_amounts, empty_state, rolling_totals
 
 SCHEMA = "symbol string, ts timestamp, close double, ingested_at timestamp, bar_id long, total int, day string, version int"
 
@@ -71,3 +76,31 @@ def test_late_days_extend_both_ends(spark):
 def test_empty(spark):
     assert rolling_totals(bars(spark, [])).count() == 0
     assert rolling_totals(bars(spark, [("A", day(1), None, None, 1)])).count() == 0
+
+
+def amounts(spark, rows):
+    return daily_amounts(bars(spark, rows), "symbol", "ts", "close", "ingested_at", "bar_id")
+
+
+def test_a_correction_reads_and_writes_its_blocks_only(spark, tmp_path):
+    rows = [(s, day(k), float(k % 13), day(k), 2000 * i + k) for i, s in enumerate(("A", "B")) for k in range(0, 2000, 1 + i)]
+    store = RollingStore(spark, str(tmp_path))
+    assert store.apply(amounts(spark, rows)) == 1
+    fix = [("A", day(900), 50.0, day(3000), 9001)]
+    first_day = (dt.date(2020, 1, 1) - dt.date(1970, 1, 1)).days
+    assert set(store._reach(amounts(spark, fix))) == {(first_day + k) // BLOCK_DAYS for k in (900, 930)}
+    assert store.apply(amounts(spark, fix)) == 2
+    wrote = {p.parent.name for p in Path(tmp_path, "totals", "batch=2").rglob("*.parquet")}
+    assert 1 <= len(wrote) <= 2
+    assert {r.entity for r in spark.read.parquet(f"{tmp_path}/totals/batch=2").collect()} == {"A"}
+    assert got(store.state().totals) == brute(rows + fix)
+    more = [("A", day(2100), 1.0, day(3001), 9002), ("C", day(5), 1.0, day(3001), 9003), ("B", day(-3), 2.0, day(3001), 9004)]
+    store.apply(amounts(spark, more))
+    assert got(store.state().totals) == brute(rows + fix + more)
+    store.apply(amounts(spark, []))
+    assert got(store.state().totals) == brute(rows + fix + more)
+
+
+def test_an_amount_too_large_is_an_error(spark):
+    with pytest.raises(PySparkException):
+        rolling_totals(bars(spark, [("A", day(1), 1e25, day(1), 1)])).collect()

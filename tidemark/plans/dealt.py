@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.model import day_text, table
@@ -16,11 +17,9 @@ from tidemark.plans.base import FENCE, PANEL_NAMES
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of highest total and days whose period is empty, per symbol and period length."""
     totals = rolling_totals(table(spark, sf_dir, "ohlcv")).withColumn("rounded", F.col("total").cast("decimal(38,2)"))
-    peak = totals.groupBy("entity", "win_days").agg(F.max("rounded").alias("top"))
-    return (
-        totals.join(peak, ["entity", "win_days"])
-        .withColumn("what", F.explode(F.expr("filter(array(if(rounded = top, 'peak', null), if(n = 0, 'empty', null)), x -> x is not null)")))
-        .select(F.col("entity").alias("symbol"), "win_days", day_text(F.col("day")).alias("bar_day"), "what")
+    totals = totals.withColumn("top", F.max("rounded").over(W.partitionBy("entity", "win_days")))  # a series is bounded by its calendar
+    return totals.withColumn("what", F.explode(F.array_compact(F.array(F.when(F.col("rounded") == F.col("top"), "peak"), F.when(F.col("n") == 0, "empty"))))).select(
+        F.col("entity").alias("symbol"), "win_days", day_text(F.col("day")).alias("bar_day"), "what"
     )
 
 
