@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.leaks import SHINGLE, aligned, leaked_items, prefix_reach
+from tidemark.llm.leaks import SHINGLE, aligned, leaked_items, prefix_reach, straight
 from tidemark.llm.words import words
 
 WORDS = [a + b for a in ("zor", "bel", "qui", "tan", "mev", "lor", "pid") for b in ("ka", "mi", "dan", "fex", "or", "ul")]
@@ -104,3 +104,29 @@ def test_lax_rate_keeps_every_shingle(spark):
     part = ["other" if k in (5, 12) else x for k, x in enumerate(w)]
     docs = [(0, " ".join(part)), (1, " ".join(w)), (2, " ".join(w))]
     assert found(spark, docs, [(7, " ".join(w))], rate=6) == {(d, 7) for d in range(3)}
+
+
+def test_straight_accepts_what_counting_accepts():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        match = rng.random((3, 40)) < rng.uniform(0.5, 0.95)
+        want = any(
+            row[a] and row[b] and b - a + 1 >= 18 and 7 * int((~row[a : b + 1]).sum()) <= b - a + 1
+            for row in match for a in range(40) for b in range(a, 40)
+        )
+        assert straight(match, 18, 7) == want
+
+
+def test_altered_passages_among_many_copies_of_some_parts(spark):
+    rnd = random.Random(9)
+    for k in range(4):
+        w = item(50 + k, 45).split()
+        docs = []
+        for d in range(40):  # skewed: some stretches of the item are far commoner than others
+            a = rnd.choice([0, 0, 0, 12, 24])
+            part = w[a : a + 21]
+            for b in rnd.sample(range(1, 20), rnd.randrange(4)):
+                part[b] = rnd.choice(WORDS)
+            docs.append((d, item(900 + d, 10) + " " + " ".join(part) + " " + item(800 + d, 10)))
+        want = {(d, 1) for d, t in docs if brute(t, " ".join(w))}
+        assert want <= found(spark, docs, [(1, " ".join(w))])

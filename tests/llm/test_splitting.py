@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.splitting import longest_stretch, pieces, split_texts
+from tidemark.llm.splitting import cut_stretch, pieces, split_texts
 
 
 def rejoined(text, limit, overlap):
@@ -43,11 +43,23 @@ def test_operator_on_dirt(spark):
     df = spark.createDataFrame(rows, "contract_id long, contract_text string, piece string")
     out = split_texts(df, "contract_id", "contract_text").collect()
     assert {r.doc for r in out} == {3, 4, 5, None} and sum(r.doc == 4 for r in out) == 4
-    assert [(r.piece, len(r.piece_text), r.longest_line) for r in out if r.doc == 5] == [(1, 7800, 8001), (2, 401, 8001)]
+    assert [(r.piece, len(r.piece_text), r.through) for r in out if r.doc == 5] == [(1, 7800, 8001), (2, 401, 0)]
     assert split_texts(df.limit(0), "contract_id", "contract_text").count() == 0
     with pytest.raises(ValueError):
         split_texts(df, "contract_id", "contract_text", 10, 10)
 
 
-def test_longest_stretch():
-    assert longest_stretch("ab\rcde\ff\n") == 3 and longest_stretch("") == 0
+def test_stretch_a_cut_goes_through():
+    assert [cut_stretch("ab\rcde\ff\n", k) for k in range(10)] == [0, 2, 0, 0, 3, 3, 0, 0, 0, 0]
+    assert cut_stretch("abc", 1) == 3
+
+
+def test_ids_beyond_a_float_beside_null(spark):
+    rows = [(2**53 + 1, "a"), (None, "b"), (2**53 + 3, "c")]
+    out = split_texts(spark.createDataFrame(rows, "contract_id long, contract_text string").coalesce(1), "contract_id", "contract_text").collect()
+    assert {(r.doc, r.piece_text) for r in out} == set(rows)
+
+
+def test_a_paragraph_end_is_preferred_to_a_line_end():
+    text = "".join(("word " * 8 + "\n") * 9 + "The end.\n\n" for _ in range(20))
+    assert {p[3] for p in pieces(text, 1000, 50)[:-1]} == {"paragraph"}

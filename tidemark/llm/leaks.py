@@ -25,6 +25,8 @@ from tidemark.llm.words import words
 from tidemark.session import cut_lineage
 
 SHINGLE = 5
+#: The words of a block's items are broadcast if there are at most that many (4 bytes each).
+BROADCAST_WORDS = 5_000_000
 #: Odd multipliers of the shingle hash; a collision only costs a verification.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -65,6 +67,8 @@ def aligned(text: np.ndarray, item: np.ndarray, shifts: np.ndarray, span: int, r
         match = inside & (text[np.clip(at, 0, m - 1)] == item[None, :]) & (item[None, :] > 0)
         if match.any(axis=0).sum() < span - span // rate:
             continue
+        if straight(match, span, rate):
+            return span
         # score = matches - (rate - 1) * (replaced + left out) - rate * put in; at least 0 means few enough are altered.
         best = np.full((width, span + 1), -np.inf)
         for i in range(n):
@@ -87,6 +91,17 @@ def aligned(text: np.ndarray, item: np.ndarray, shifts: np.ndarray, span: int, r
     return 0
 
 
+def straight(match: np.ndarray, span: int, rate: int) -> bool:
+    """Whether some shift alone holds a passage: from a match to a match, span words or more, one in rate replaced at most."""
+    n = match.shape[1]
+    if n < span:
+        return False
+    gain = np.where(match, 1, 1 - rate).cumsum(axis=1)
+    before = np.concatenate([np.zeros((len(match), 1), gain.dtype), gain[:, :-1]], axis=1)
+    start = np.minimum.accumulate(np.where(match, before, n * rate), axis=1)[:, : n - span + 1]
+    return bool((match[:, span - 1 :] & (gain[:, span - 1 :] >= start)).any())
+
+
 def prefix_reach(span: int, rate: int) -> int | None:
     """Within how many places every passage the rule allows has two intact shingles; None if one may have fewer than two.
 
@@ -134,6 +149,8 @@ def _block(documents: DataFrame, items: DataFrame, doc_id: str, text: str, span:
     wanted = np.unique(np.array([c for _, _, c in entries], np.int64))
     shingles = spark.createDataFrame(entries, f"item {kind_item}, place int, code long") if entries else spark.createDataFrame([], f"item {kind_item}, place int, code long")
     item_words = spark.createDataFrame([(i, ids.tolist()) for i, ids in coded], f"item {kind_item}, item_ids array<int>")
+    if sum(len(ids) for _, ids in coded) <= BROADCAST_WORDS:
+        item_words = F.broadcast(item_words)
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary.get
@@ -179,8 +196,8 @@ def _block(documents: DataFrame, items: DataFrame, doc_id: str, text: str, span:
     near = cut_lineage(
         documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null and text <> ''").mapInArrow(surroundings, f"doc {kind_doc}, part int, ids array<int>, at array<int>, codes array<long>")
     )
-    # A document id may come more than once, so a part is known by a number of its own.
-    near = cut_lineage(near.withColumn("spot", F.monotonically_increasing_id()))
+    # A document id may come more than once, so a part is known by its place in the written copy.
+    near = near.withColumn("spot", F.monotonically_increasing_id())
     hits = near.select("doc", "spot", F.explode(F.arrays_zip("at", "codes")).alias("h")).select("doc", "spot", F.col("h.at").alias("at"), F.col("h.codes").alias("code"))
     frequency = hits.select("doc", "code").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("docs"))
     # Shingles in the order of rarity: one commoner than all others within reach is no prefix shingle; two such lie further apart.
@@ -198,5 +215,7 @@ def _block(documents: DataFrame, items: DataFrame, doc_id: str, text: str, span:
     def verified(ids: pd.Series, item_ids: pd.Series, shifts: pd.Series) -> pd.Series:
         return pd.Series([aligned(np.asarray(t), np.asarray(i), np.asarray(s), span, rate) > 0 for t, i, s in zip(ids, item_ids, shifts, strict=True)], dtype=bool)
 
-    checked = candidates.join(near.select("spot", "doc", "ids"), "spot").join(item_words, "item").where(verified("ids", "item_ids", "shifts"))
-    return checked.select("doc", "item").distinct()
+    # The pairs are few bytes but much work, so they are spread over a stated number of tasks, pair by pair.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    pairs = candidates.join(near.select("spot", "doc", "ids"), "spot").join(item_words, "item").repartition(tasks, "spot", "item")
+    return pairs.where(verified("ids", "item_ids", "shifts")).select("doc", "item").distinct()

@@ -80,7 +80,8 @@ def mix_sources(
 
     No document is used more than its source's repeats; its n-th copy comes only after the source's whole (n-1)-th round.
     The result never exceeds the budget. report: source, target_share, max_repeats, available_tokens (all documents, each
-    used max_repeats times), target_tokens, chosen_tokens, chosen_rows, actual_share, and reachable (available >= target).
+    used max_repeats times), target_tokens, chosen_tokens, chosen_rows, actual_share, and reachable: the queue, with all its
+    repeats, does not run dry before the virtual time at which every source would have given its share.
     Shares are taken relative to their sum; targets without source or positive share are left out, a NULL or negative number
     of repeats counts as 1 or 0, of contradicting rows of a source the greater share holds. Documents of no target source,
     without source, or with NULL or empty text are never chosen, though their tokens count for the default budget. Repeated
@@ -101,8 +102,8 @@ def mix_sources(
     for r in plan:
         weight = r.share / whole
         rounds = min(r.repeats, int(line * weight // r.tokens) + 1) if r.tokens else 0
-        rows.append((r.source, weight, r.repeats, r.tokens, rounds, max(1, r.rows // BUCKET_ROWS)))
-    lanes = spark.createDataFrame(rows, "source string, weight double, repeats int, stock long, rounds int, buckets int")
+        rows.append((r.source, weight, r.repeats, r.tokens, r.rows, rounds, max(1, r.rows // BUCKET_ROWS)))
+    lanes = spark.createDataFrame(rows, "source string, weight double, repeats int, stock long, rows long, rounds int, buckets int")
 
     queue = (
         sized.where("tokens > 0").join(broadcast_bounded(lanes.where("rounds > 0"), 100_000), "source")
@@ -119,7 +120,7 @@ def mix_sources(
         .where(F.col("finish") <= F.lit(line * (1 + 1e-9) + 1))
     )
     # The global order: ranges of virtual time, their running totals, and the running total within the range.
-    ranges = max(1, sum(r[4] * r[5] for r in rows))
+    ranges = max(1, sum(r[5] * r[6] for r in rows))
     timed = timed.withColumn("slice", F.least(F.lit(ranges - 1), F.floor(F.col("finish") * ranges / F.lit(max(line, 1.0)))).cast("int"))
     per_slice = timed.groupBy("slice").agg(F.sum("tokens").alias("slice_tokens"))
     so_far = per_slice.select("slice", F.coalesce(F.sum("slice_tokens").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -129,11 +130,14 @@ def mix_sources(
     )
     taken = chosen.groupBy("source").agg(F.sum("tokens").alias("chosen_tokens"), F.count(F.lit(1)).alias("chosen_rows"))
     total = taken.agg(F.sum("chosen_tokens").alias("total"))
+    # With weights that add up to 1, every source has given its share at the virtual time that equals the budget.
+    early = timed.where(F.col("finish") < F.lit(float(budget))).groupBy("source").agg(F.count(F.lit(1)).alias("early_rows"))
     report = (
-        lanes.join(taken, "source", "left").crossJoin(F.broadcast(total)).select(
+        lanes.join(taken, "source", "left").join(early, "source", "left").crossJoin(F.broadcast(total)).select(
             "source", F.col("weight").alias("target_share"), F.col("repeats").alias("max_repeats"), (F.col("stock") * F.col("repeats")).alias("available_tokens"), (F.col("weight") * budget).alias("target_tokens"),
             F.coalesce("chosen_tokens", F.lit(0)).alias("chosen_tokens"), F.coalesce("chosen_rows", F.lit(0)).alias("chosen_rows"), F.coalesce(F.expr("try_divide(chosen_tokens, total)"), F.lit(0.0)).alias("actual_share"),
-        ).withColumn("reachable", F.col("available_tokens") >= F.col("target_tokens"))
+            (F.coalesce("early_rows", F.lit(0)) < F.col("rows") * F.col("repeats")).alias("reachable"),
+        )
     )
     return Mixture(chosen, report)
 

@@ -26,10 +26,11 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contracts that had to be split, and those among them with a stretch without any line end over the limit."""
-    split = split_texts(table(spark, sf_dir, "contracts"), "contract_id", "contract_text").where("piece = 1 and n_chars > 8000")
-    what = F.array_compact(F.array(F.lit("oversized"), F.when(F.col("longest_line") > 8000, "unbroken")))
-    return split.select(F.col("doc").alias("contract_id"), F.explode(what).alias("what"))
+    """Contracts that came out in more than one piece, and those among them where a cut had to go through a line over the limit."""
+    pieces = split_texts(table(spark, sf_dir, "contracts"), "contract_id", "contract_text")
+    seen = pieces.groupBy("doc").agg(F.max("piece").alias("pieces"), F.max("through").alias("through"))
+    what = F.array_compact(F.array(F.when(F.col("pieces") > 1, "oversized"), F.when(F.col("through") > 8000, "unbroken")))
+    return seen.select(F.col("doc").alias("contract_id"), F.explode(what).alias("what"))
 
 
 P3_FOUND_SQL = """

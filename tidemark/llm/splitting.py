@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,7 @@ AFTER = (
     re.compile(r"[.!?…。！？;]+[\"'”’)\]]*(?=\s|$|---)|[。！？]"),
     re.compile(r"\s+"),
 )
+SENTENCE_END = re.compile(r"[.!?…。！？;:][\"'”’)\]]*\s*\Z")
 #: Boundary names by level, as given out in the column ends_at.
 LEVELS = ("section", "subsection", "item", "paragraph", "line", "sentence", "word", "character")
 
@@ -73,17 +74,31 @@ def pack(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         for k in range(len(merged) - 1, -1, -1):
             a, b = merged[k]
             stack.append((a, b, level + 1, closing if k == len(merged) - 1 else level))
-    # On the way up: neighbours of different parents are merged too while the piece has room; the first piece has the whole limit.
-    begin = 0
-    for k, (_, b, closing) in enumerate(units):
-        space = limit if not ends else room
-        following = units[k + 1][1] if k + 1 < len(units) else None
-        if following is None or following - begin > space:
-            ends.append((b, closing))
-            begin = b
+    # On the way up: neighbours of different parents are merged too while the piece has room; the first piece has the whole
+    # limit. A piece ends at the strongest boundary of its last half, the last one of those.
+    begin = k = 0
+    while begin < n:
+        space = room if ends else limit
+        best = k
+        while k < len(units) and units[k][1] - begin <= space:
+            if units[k][1] - begin <= space // 2 or _weakness(text, units[k]) <= _weakness(text, units[best]) or units[best][1] - begin <= space // 2:
+                best = k
+            k += 1
+        if k == len(units):
+            best = k - 1
+        ends.append((units[best][1], units[best][2]))
+        begin, k = units[best][1], best + 1
     return ends
 
 
+def _weakness(text: str, unit: tuple[int, int, int]) -> float:
+    """Level of the boundary at a unit's end; a line's end within a sentence comes after the sentence's end."""
+    level = unit[2]
+    if LEVELS[level] == "line" and not SENTENCE_END.search(text, max(unit[0], unit[1] - 20), unit[1]):
+        return LEVELS.index("sentence") + 0.5
+    return level
+
+
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, str, str]]:
     """(number from 1, start, text, boundary) of each piece."""
     out, before = [], 0
@@ -94,13 +109,17 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, str, str
     return out
 
 
-def longest_stretch(text: str) -> int:
-    """Longest stretch without line feed, carriage return or form feed."""
-    return max(map(len, re.split(r"[\n\r\f]", text)))
+def cut_stretch(text: str, end: int) -> int:
+    """Length of the stretch without line feed, carriage return or form feed that the cut at end goes through; 0 at a line's end."""
+    if end in (0, len(text)) or text[end - 1] in "\n\r\f" or text[end] in "\n\r\f":
+        return 0
+    begin = max(text.rfind(c, 0, end) for c in "\n\r\f") + 1
+    stops = [p for p in (text.find(c, end) for c in "\n\r\f") if p >= 0]
+    return min(stops, default=len(text)) - begin
 
 
 def split_texts(documents: DataFrame, doc_id: str, text: str, limit: int = 8000, overlap: int = 200) -> DataFrame:
-    """doc, piece, start, piece_text, ends_at, n_chars (of the whole text), longest_line (its longest stretch without line end).
+    """doc, piece, start, piece_text, ends_at, through (length of the line its end cuts through; 0 where it ends with a line).
 
     Pieces are in order, at most limit characters (code points) long, start 0-based, and each repeats the last overlap
     characters of the one before; leaving the overlaps out gives the text back. ends_at is 'end' or the kind of boundary.
@@ -112,13 +131,14 @@ def split_texts(documents: DataFrame, doc_id: str, text: str, limit: int = 8000,
     kind = documents.schema[doc_id].dataType.simpleString()
     source = documents.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).where("text <> ''")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.iloc[lo : lo + 64]
-                rows = [(d, *p, len(t), longest_stretch(t)) for d, t in zip(part["doc"], part["text"], strict=True) for p in pieces(t, limit, overlap)]
-                frame = pd.DataFrame(rows, columns=["doc", "piece", "start", "piece_text", "ends_at", "n_chars", "longest_line"])
-                frame["doc"] = frame["doc"].astype(batch["doc"].dtype)
-                yield frame
-
-    return source.mapInPandas(run, f"doc {kind}, piece int, start long, piece_text string, ends_at string, n_chars long, longest_line long")
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                rows = [(row, *p, cut_stretch(t, p[1] + len(p[2]))) for row, t in enumerate(part.column(1).to_pylist()) for p in pieces(t, limit, overlap)]
+                columns = [list(c) for c in zip(*rows, strict=True)]
+                kinds = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                arrays = [part.column(0).take(pa.array(columns[0])), *[pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "piece", "start", "piece_text", "ends_at", "through"])
+
+    return source.mapInArrow(run, f"doc {kind}, piece int, start long, piece_text string, ends_at string, through long")
