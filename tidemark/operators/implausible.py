@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.kernels.hampel import BINS_PER_OCTAVE, ZERO_BIN, deviation_bins, deviations, run_lengths, smallest_step
 from tidemark.model import epoch_us, usable
+from tidemark.operators.blocks import numbered
 from tidemark.session import cut_lineage, small, written
 
 #: Median and mean absolute deviation of a normal variable, times these, are its standard deviation.
@@ -170,33 +171,12 @@ def implausible_readings(
 
 
 def _blocks(distinct: DataFrame, possible: DataFrame, half: int, block_rows: int) -> DataFrame:
-    """source, block, t, v, copies, row_id, inner: the readings of each block and, with inner false, half a window around it.
-
-    Sources within a block's size need no numbers. In others a reading's number is that of its bucket of time (about half a
-    block on average, however unevenly they fill) plus its place within the bucket.
-    """
-    large = small(
-        possible.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("t0"), F.max("t").alias("t1")).where(F.col("rows") > block_rows)
-        .select("source", "t0", F.greatest(F.lit(1), F.expr(f"cast((t1 - t0) * {block_rows / 2} / rows as long)")).alias("width"))
-    )
-    marked = distinct.join(large, "source", "left")
-    whole = marked.where("t0 is null").withColumn("block", F.lit(0).cast("long")).withColumn("inner", F.lit(True))
-    bucketed = marked.where("t0 is not null").withColumn("bucket", F.expr("(t - t0) div width")).drop("t0", "width")
-    sizes = bucketed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("size"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("source", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(W.partitionBy("source", "bucket").orderBy("t", "v")) - 1
-    numbered = bucketed.withColumn("place", place).join(starts, ["source", "bucket"]).withColumn("number", F.col("start") + F.col("place"))
-    cut = (
-        numbered.withColumn("own", F.expr(f"number div {block_rows}"))
-        .withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.expr(f"(number - {half}) div {block_rows}")), F.expr(f"(number + {half}) div {block_rows}"))))
-        .withColumn("inner", F.col("block") == F.col("own"))
-    )
-    # A block that would only hold a margin lies beyond the source's end.
-    ends = sizes.groupBy("source").agg(F.sum("size").alias("total"))
-    cut = cut.join(ends, "source").where(F.col("block") * block_rows < F.col("total"))
-    columns = ["source", "block", "t", "v", "copies", "row_id", "inner"]
-    return whole.select(*columns).unionByName(cut.select(*columns))
+    """source, block, t, v, copies, row_id, inner: the readings of each block and, with inner false, half a window around it."""
+    placed = numbered(distinct, possible, "source", "t", ("v",), block_rows)
+    # Sources within a block's size have one; a block that would only hold a margin lies beyond the source's end.
+    near = F.expr(f"sequence(greatest(0, (number - {half}) div {block_rows}), least((number + {half}) div {block_rows}, (coalesce(total, 1) - 1) div {block_rows}))")
+    cut = placed.withColumn("block", F.explode(near)).withColumn("inner", F.col("block") == F.expr(f"number div {block_rows}"))
+    return cut.select("source", "block", "t", "v", "copies", "row_id", "inner")
 
 
 def _scales(parts: DataFrame, calm_share: float, least_scale: float) -> DataFrame:

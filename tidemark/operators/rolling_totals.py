@@ -13,14 +13,14 @@ keeps the state as files by block, adds the rewritten blocks of each batch and r
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.model import epoch_day, finite
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, written
 
 BLOCK_DAYS = 512
 MONEY = "decimal(38,6)"
@@ -247,6 +247,7 @@ def rolling_totals(bars: DataFrame, entity: str = "symbol", ts: str = "ts", amou
     """
     reports = cut_lineage(daily_reports(bars, entity, ts, amount, seen_at, bar_id))
     one = advance(empty_state(bars.sparkSession), amounts_of(reports, "first"), 1, periods)
+    one = replace(one, totals=written(one.totals))
     two = advance(one, amounts_of(reports.where("last > first"), "last"), 2, periods)
     return two.totals.select(
         "entity", "win_days", "day", "total", "n",
