@@ -1,79 +1,37 @@
 """Runs of identical or nearly identical consecutive events, collapsed to one event each.
 
-Boundary interval lookup: the events of an entity are cut into blocks of time; a block's run starts are gathered into a
-sorted array, every event is assigned to its run by binary search in that array, and the runs are aggregated. Runs that
-reach a block's border are joined with what follows. Spellings are reduced to a key once per distinct label, so the text
-work doesn't grow with the events.
+Boundary interval lookup: the events of an entity are cut into blocks of a stated number of events; a block's run starts are
+gathered into a sorted array, every event is assigned to its run by binary search in that array, and the runs are
+aggregated. Runs inside a block are done then; only those at a block's borders are joined with what follows, two a block, so
+an entity that holds most events is many tasks. Spellings are reduced to a key once per distinct label of a batch.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.spelling import keys_of
 from tidemark.model import epoch_us
+from tidemark.operators.blocks import numbered
+from tidemark.session import cut_lineage
 
 DAY_US = 86_400_000_000
 PIECE = "array<struct<run:int,label:string,start:bigint,stop:bigint,n:bigint>>"
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap of neighbours) from a to b, or most + 1 if more than most."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            now[j] = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                now[j] = min(now[j], before[j - 2] + 1)
-        before, last = last, now
-    return min(last[-1], most + 1)
-
-
-def label_key(text: str | None, labels: tuple[str, ...], fillers: tuple[str, ...]) -> str | None:
-    """The label a spelling stands for; the bare spelling where none is near; None for blank.
-
-    Case, accents, punctuation, spaces and filler words don't count; up to a third of a label's letters (one edit in three,
-    at most two) may differ, a swap of neighbours being one edit. Of equally near labels the first in the list is taken.
-    """
-    if text is None or not text.strip():
-        return None
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text).lower() if not unicodedata.combining(c))
-    words = "".join(c if c.isalnum() else " " for c in plain).split()
-    bare = "".join(w for w in words if w not in fillers) or "".join(words)
-    if not bare:
-        return text.strip()
-    near = [(edit_distance(bare, label, 2), k) for k, label in enumerate(labels)]
-    best = min((d, k) for d, k in near) if near else (9, 0)
-    return labels[best[1]] if best[0] <= min(2, max(1, len(labels[best[1]]) // 3)) else bare
-
-
-def keys_of(column: Column, labels: tuple[str, ...], fillers: tuple[str, ...]) -> Column:
-    """label_key of a column."""
-
-    @F.pandas_udf("string")
-    def key(texts: pd.Series) -> pd.Series:
-        known = {t: label_key(t, labels, fillers) for t in texts.dropna().unique()}
-        return texts.map(lambda t: known.get(t))
-
-    return key(column)
-
-
 def event_runs(
-    events: DataFrame, entity: str, ts: str, label: str, tie_breaks: tuple[str, ...] = (), labels: tuple[str, ...] = (), fillers: tuple[str, ...] = (), block_us: int = 1024 * DAY_US
+    events: DataFrame, entity: str, ts: str, label: str, tie_breaks: tuple[str, ...] = (), labels: tuple[str, ...] = (), fillers: tuple[str, ...] = (), block_events: int = 4096
 ) -> DataFrame:
     """One row per maximal run: entity, label, start_us, end_us, n_events (different times), duration_us.
 
     Events with NULL or blank label, and rows without entity or time, are passed over and break no run. Several rows of one
     time count once; if they disagree, the last by tie_breaks (then the greater label) holds. Gaps in time break no run. An
-    empty table gives no rows. A block holds the events of block_us at most, whatever the entity's total.
+    empty table gives no rows. Spellings are nearly identical if they stand for the same of labels, or, of other labels, if they
+    differ in case, accents, punctuation, spaces and fillers only. block_events decides how the work is cut up, not the result.
     """
     rows = events.select(F.col(entity).cast("string").alias("entity"), epoch_us(ts).alias("t"), F.col(label).cast("string").alias("spelling"), *[F.col(c).alias(f"tie{i}") for i, c in enumerate(tie_breaks)])
     rows = rows.where("entity is not null and t is not null and trim(spelling) <> ''")
@@ -82,8 +40,9 @@ def event_runs(
     once = rows.groupBy("entity", "t", "spelling").agg(F.count(F.lit(1)).alias("copies"), *ties)
     keyed = once.withColumn("label", keys_of(F.col("spelling"), tuple(labels), tuple(fillers))).where("label is not null")
     at = keyed.groupBy("entity", "t").agg(F.max_by("label", F.struct(*[f"tie{i}" for i in range(len(tie_breaks))], "label")).alias("label"))
+    placed = numbered(at, at, "entity", "t", (), block_events).withColumn("block", F.expr(f"number div {block_events}"))
     blocks = (
-        at.withColumn("block", F.expr(f"floor(t / {block_us})")).groupBy("entity", "block").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("seen"))
+        placed.groupBy("entity", "block").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("seen"))
         .select("entity", "block", F.transform("seen", lambda x: x["t"]).alias("times"), F.transform("seen", lambda x: x["label"]).alias("names"))
     )
 
@@ -100,11 +59,13 @@ def event_runs(
             out.append([{"run": i, "label": label_of[i], "start": int(starts[i]), "stop": int(ends[i]), "n": int(n[i])} for i in range(len(starts))])
         return pd.Series(out)
 
-    parts = blocks.select("entity", "block", F.explode(pieces("times", "names")).alias("p")).select("entity", "block", "p.*")
-    # Only a block's first run can go on from the block before; runs within a block are maximal already.
+    runs = blocks.select("entity", "block", pieces("times", "names").alias("p"))
+    parts = cut_lineage(runs.select("entity", "block", F.size("p").alias("runs"), F.explode("p").alias("x")).select("entity", "block", "runs", "x.*"))
+    border = (F.col("run") == 0) | (F.col("run") == F.col("runs") - 1)
+    # Only a block's first run can go on from the block before.
     order = W.partitionBy("entity").orderBy("start")
     opens = F.when((F.col("run") > 0) | F.lag("label").over(order).isNull() | (F.lag("label").over(order) != F.col("label")), 1).otherwise(0)
-    joined = parts.withColumn("opens", opens).withColumn("run_no", F.sum("opens").over(order))
-    return joined.groupBy("entity", "run_no").agg(
-        F.first("label").alias("label"), F.min("start").alias("start_us"), F.max("stop").alias("end_us"), F.sum("n").alias("n_events"),
-    ).select("entity", "label", "start_us", "end_us", "n_events", (F.col("end_us") - F.col("start_us")).alias("duration_us"))
+    joined = parts.where(border).withColumn("opens", opens).withColumn("run_no", F.sum("opens").over(order))
+    across = joined.groupBy("entity", "run_no").agg(F.first("label").alias("label"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"))
+    columns = ["entity", "label", F.col("start").alias("start_us"), F.col("stop").alias("end_us"), F.col("n").alias("n_events"), (F.col("stop") - F.col("start")).alias("duration_us")]
+    return parts.where(~border).select(*columns).unionByName(across.select(*columns))
