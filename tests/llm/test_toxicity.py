@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -29,7 +30,16 @@ def test_disguises_read_alike():
     for text in ("YOU STUPID GLORP!!!", "y0u $tup1d gl0rp", "yоu stuрid glоrр", "you s t u p i d glorp", "yoooou stuuupid gloorp", "you stu​pid glorp", "you \\u0073tupid glorp"):
         assert line_words(text) == plain, text
     assert line_words("lag_4 = 17") == ["lag", "0", "0"] and line_words("") == []
-    assert line_key("a 12.5 b 7") == line_key("a 3 b 44") and "data" in line_key("x " + "QUJD" * 30)
+    assert line_key("a 12.5 b 7") == line_key("a 3 b 44") and line_key("x " + base64.b64encode(bytes(range(128, 218))).decode()) == "x  data"
+
+
+def test_joined_and_encoded_words_are_read():
+    plain = line_words("you are a worthless idiot and everybody here knows it by now please")
+    joined = "you are a worthless idiot and everybody here knows it by now please".split()
+    for run in ("_".join(joined), "-".join(joined), "/".join(joined), "".join(w.title() for w in joined), base64.b64encode(" ".join(joined).encode()).decode(), base64.urlsafe_b64encode(" ".join(joined).encode()).decode()):
+        assert line_words(line_key(run)) == plain, run
+    assert line_words("x" + "ab" * 30) == ["x" + "ab" * 30]
+    assert "data" in line_key("a" * 3 + "0f9e8d7c" * 10)
 
 
 def test_gradient():

