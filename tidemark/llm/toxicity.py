@@ -290,15 +290,17 @@ def _doc_scores(net: Network, docs: list[Labelled]) -> np.ndarray:
     return out
 
 
-def _best_threshold(score: np.ndarray, truth: np.ndarray) -> float:
-    """Middle of the gap at which the most documents are judged right, by F1."""
-    order = np.argsort(-score)
-    hits = np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
-    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    k = best[len(best) // 2]
-    after = score[order[k + 1]] if k + 1 < len(order) else score[order[k]] - 2
-    return float((score[order[k]] + after) / 2)
+def _best_threshold(score: np.ndarray, truth: np.ndarray, noise: float) -> float:
+    """Threshold of the highest F1 to be expected if every score may differ by noise (a deviation) on the network in use.
+
+    A narrow gap between two documents' scores thus counts for nothing, and the threshold lies in the wide one.
+    """
+    at = np.linspace(score.min() - 1, score.max() + 1, 801)
+    over = 1 / (1 + np.exp(np.clip(-1.702 * (score[:, None] - at[None, :]) / noise, -60, 60)))
+    hits, said = over[truth > 0].sum(axis=0), over.sum(axis=0)
+    f1 = 2 * hits / (said + truth.sum())
+    best = np.flatnonzero(f1 >= f1.max() - 1e-6)
+    return float(at[best[len(best) // 2]])
 
 
 @dataclass
@@ -339,6 +341,12 @@ def on_cluster(spark: SparkSession) -> Callable[[list[Callable[[], object]]], li
     return run
 
 
+def _whole(docs: list[Labelled], background: list[list[int]], seed: int) -> tuple[Network, np.ndarray]:
+    """The network of all documents and their scores."""
+    net = _train(docs, background, seed)
+    return net, _doc_scores(net, docs)
+
+
 def _held_out(docs: list[Labelled], fold: np.ndarray, k: int, background: list[list[int]], seed: int) -> np.ndarray:
     """Scores of the documents of fold k from a network fitted on the others."""
     other = _train([d for d, f in zip(docs, fold, strict=True) if f != k], background, seed + 100 * (k + 1), epochs=5)
@@ -359,18 +367,23 @@ def fit_classifier(
         fold[where] = np.arange(len(where)) % folds
     calibrated = truth.sum() >= 2 * folds and (1 - truth).sum() >= 2 * folds
 
-    net, *scores = run([partial(_train, docs, background, seed), *[partial(_held_out, docs, fold, k, background, seed) for k in range(folds if calibrated else 0)]])
+    (net, own), *scores = run([partial(_whole, docs, background, seed), *[partial(_held_out, docs, fold, k, background, seed) for k in range(folds if calibrated else 0)]])
     if not calibrated:
         return Classifier(net)
     for k, values in enumerate(scores):
         score[fold == k] = values
-    usual = _best_threshold(score, truth)
+    # How far the network in use scores clean documents otherwise than the networks that held them out.
+    moved = (own - score)[truth == 0]
+    shift = float(np.median(moved))
+    noise = max(0.5, 1.4826 * float(np.median(np.abs(moved - shift))))
+    score += shift
+    usual = _best_threshold(score, truth, noise)
     languages = np.array([d.language for d in docs])
     thresholds = {}
     for lang in sorted(set(languages)):
-        own = languages == lang
-        if truth[own].sum() >= least_positives and (1 - truth[own]).sum() >= least_positives:
-            thresholds[lang] = _best_threshold(score[own], truth[own])
+        theirs = languages == lang
+        if truth[theirs].sum() >= least_positives and (1 - truth[theirs]).sum() >= least_positives:
+            thresholds[lang] = _best_threshold(score[theirs], truth[theirs], noise)
     said = score > np.array([thresholds.get(x, usual) for x in languages])
     f1 = 2 * (said * truth).sum() / max(1, said.sum() + truth.sum())
     return Classifier(net, thresholds, usual, float(f1))
