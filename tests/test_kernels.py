@@ -113,3 +113,18 @@ def test_causality():
     assert regression.granger_gain(y, x, kind="knn")["gain"] > 0
     s = regression.phase_surrogates(x, 5, 0)
     assert np.allclose(s.mean(axis=1), x.mean()) and np.allclose(np.abs(np.fft.rfft(s[0])), np.abs(np.fft.rfft(x)))
+
+
+def test_sample_entropy_counts_all_pairs():
+    import math
+
+    import numpy as np
+
+    from tidemark.kernels.regression import sample_entropy
+
+    x = np.random.default_rng(2).normal(size=600).cumsum()
+    r = 0.2 * x.std()
+    near = lambda i, j, k: all(abs(x[i + d] - x[j + d]) <= r for d in range(k))
+    pairs = [(i, j) for i in range(598) for j in range(i + 1, 598) if near(i, j, 2)]
+    assert abs(sample_entropy(x) + math.log(sum(near(i, j, 3) for i, j in pairs) / len(pairs))) < 1e-12
+    assert math.isnan(sample_entropy(np.arange(2.0)))

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,7 +118,9 @@ def test_prompts_and_sql_functions(spark, sf_dir):
     assert spark.sql("select count(*) from ffd_weights(1.0D, 0.01D)").first()[0] == 2
     assert "orders" in register_views(spark, sf_dir) and spark.sql("select count(*) from orders").first()[0] > 0
     s = synthetic.causal_system(100)
-    assert set(s) == {"X1", "X2", "X3", "X4", "Y"} and all(abs(v.std() - 1) < 1e-9 for v in s.values())
+    assert set(s) == {"X1", "X2", "X3", "X4", "Y"} and set(synthetic.CAUSES) == set(s) - {"Y"}
+    assert abs(s["X3"][1:] - 0.5 * s["X3"][:-1] - 0.6 * np.sin(5 * s["X1"][:-1])).max() < 1e-12
+    assert np.std(s["Y"][1:] - 0.5 * s["Y"][:-1] - 0.4 * s["X2"][:-1] - 0.5 * s["X3"][:-1] ** 2) < 0.1
     assert synthetic.as_series(spark, a=synthetic.random_walk(10), b=synthetic.trending(5)).count() == 15
     with pytest.raises(ValueError):
         synthetic.autoregression(10, 1.0)

@@ -151,3 +151,21 @@ def cross_map_test(source: np.ndarray, target: np.ndarray, dim: int = 3, surroga
     score = cross_map(source, target, dim, 1, near)
     others = np.array([cross_map(s, target, dim, 1, near) for s in phase_surrogates(source, surrogates, seed)])
     return {"score": score, "p": float((others >= score).mean()), "significant": bool(score > np.quantile(others, 1 - level))}
+
+
+def sample_entropy(x: np.ndarray, m: int = 2, ratio: float = 0.2) -> float:
+    """-ln(A/B): of the pairs of templates of m values that lie within ratio population deviations, those that still do with
+    one value more. NaN without such pairs. All pairs are compared, in blocks of rows."""
+    n = len(x) - m
+    if n < 2:
+        return float("nan")
+    r = ratio * x.std()
+    vectors = np.column_stack([x[k : n + k] for k in range(m + 1)])
+    short = longer = 0
+    for lo in range(0, n, 256):
+        near = np.abs(vectors[lo : lo + 256, None, :] - vectors[None, lo:, :]) <= r
+        later = np.arange(lo, n)[None, :] > np.arange(lo, min(lo + 256, n))[:, None]
+        close = near[:, :, :m].all(axis=2) & later
+        short += int(close.sum())
+        longer += int((close & near[:, :, m]).sum())
+    return -math.log(longer / short) if short and longer else float("nan")

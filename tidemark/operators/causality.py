@@ -1,41 +1,42 @@
 """Causality between paired series: convergent cross mapping and Granger gain, as joins and aggregates.
 
-Input of both: series_id, ts, y (target), x (source). What compares all rows of a series with each other is defined on the
-series' last rows, a stated bound; series are independent.
+Input of both: series_id, ts, y (target), x (source). Series are independent.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import by_series
+from tidemark.kernels import regression
+from tidemark.operators.estimators import per_series, spread
 
 # What a source can be to a target; by a significant cross map (or none) and a useful gain (or none).
 CLASSES = {(True, True): "Strong Causal Driver", (True, False): "Structural Cause (Hidden)", (False, True): "Predictive Proxy", (False, False): "Noise/Irrelevant"}
 USEFUL_GAIN = 0.01
 
 
-def cross_map_score(pairs: DataFrame, dim: int = 3, tau: int = 1, last: int = 120) -> DataFrame:
+def cross_map_score(pairs: DataFrame, dim: int = 3, tau: int = 1, last: int | None = None) -> DataFrame:
     """series_id, points, score: how well the target's delay vectors find the source again.
 
     For every point the dim + 1 nearest other delay vectors of y (ties by position) predict x by their plain mean; the score
-    is the correlation of prediction and x, 0 if negative, undefined, or with fewer than dim * tau + 5 rows.
+    is the correlation of prediction and x, 0 if negative, undefined, or with fewer than dim * tau + 5 rows. All rows of a
+    series count, compared in blocks of rows; series are spread over more tasks than their bytes ask for. last: use only each
+    series' last rows. Series too short for one vector give no row.
     """
-    w = by_series()
-    recent = pairs.where("y is not null and x is not null").withColumn("back", F.row_number().over(W.partitionBy("series_id").orderBy(F.desc("ts")))).where(F.col("back") <= last)
-    placed = recent.select("series_id", "ts", "x", F.row_number().over(w).alias("pos"), *[F.lag("y", (dim - 1 - k) * tau).over(w).alias(f"v{k}") for k in range(dim)]).where(F.col("pos") > (dim - 1) * tau)
-    a, b = placed.alias("a"), placed.alias("b")
-    distance = sum((F.pow(F.col(f"a.v{k}") - F.col(f"b.v{k}"), 2) for k in range(dim)), F.lit(0.0))
-    near = a.join(b, (F.col("a.series_id") == F.col("b.series_id")) & (F.col("a.pos") != F.col("b.pos"))).select(
-        F.col("a.series_id").alias("series_id"), F.col("a.pos").alias("pos"), F.col("a.x").alias("x"), F.col("b.x").alias("found"), F.col("b.pos").alias("other"), distance.alias("d")
-    )
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("series_id", "pos").orderBy("d", "other"))).where(F.col("rank") <= dim + 1)
-    predicted = ranked.groupBy("series_id", "pos").agg(F.first("x").alias("x"), F.avg("found").alias("p"))
-    scores = predicted.groupBy("series_id").agg(F.count(F.lit(1)).alias("points"), F.corr("x", "p").alias("c"))
-    enough = F.col("points") + (dim - 1) * tau >= dim * tau + 5
-    return scores.select("series_id", "points", F.when(enough & (F.col("c") > 0), F.col("c")).otherwise(0.0).alias("score"))
+    known = pairs.where("y is not null and x is not null").select("series_id", "ts", "y", "x")
+    if last is not None:
+        known = known.withColumn("back", F.row_number().over(W.partitionBy("series_id").orderBy(F.desc("ts")))).where(F.col("back") <= last)
+
+    def one(_: str, rows: pd.DataFrame) -> pd.DataFrame:
+        points = len(rows) - (dim - 1) * tau
+        found = [(points, regression.cross_map(rows["x"].to_numpy(float), rows["y"].to_numpy(float), dim, tau))] if points > 1 else []
+        return pd.DataFrame(found, columns=["points", "score"])
+
+    return per_series(spread(known, "series_id"), one, "points long, score double")
 
 
 def granger_gain_one_lag(pairs: DataFrame, alpha: float = 1.0, folds: int = 5) -> DataFrame:

@@ -19,6 +19,11 @@ from tidemark.operators.ordered import histogram_entropy, hurst_slope
 LEAST_RESIDUALS, NORMAL_P, NOISE_P, SPECTRUM, HURST, ENTROPY = 5, 0.05, 0.05, 1.2, (0.4, 0.6), 0.75
 
 
+def at_horizon(frame: DataFrame, horizon: int | None, column: str = "horizon_step") -> DataFrame:
+    """The forecasts of one horizon, before anything is lagged or tested; all of them where none is asked for."""
+    return frame if horizon is None else frame.where(F.col(column) == horizon)
+
+
 def residual_rows(frame: DataFrame, models: list[str]) -> DataFrame:
     """series_id, ts, model, actual, predicted, residual (actual - predicted), naive, snaive (lags 1 and 4 of actual)."""
     w = by_series()

@@ -1,17 +1,20 @@
 """Operators over ordered series: autocorrelation, tests built on it, embeddings, folds, runs, drawdown and entropy.
 
 Input: series_id, ts, value (one row per series and time). The windows are partitioned by series; a series is bounded by its
-calendar. What is quadratic in a series' length takes its last rows only where the docstring says so.
+calendar. What is quadratic in a series' length says so and spreads the series.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import by_series
 from tidemark.functions.special import chi2_tail
+from tidemark.kernels import regression
+from tidemark.operators.estimators import per_series, spread
 
 
 def positioned(series: DataFrame) -> DataFrame:
@@ -67,9 +70,16 @@ def should_filter(series: DataFrame, period: int, nsr_threshold: float = 0.1, al
 
 
 def filter_metrics(parts: DataFrame) -> DataFrame:
-    """series_id, snr_db, dominance: of original, filtered and residual columns (population variances)."""
-    v = parts.groupBy("series_id").agg(F.var_pop("original").alias("vo"), F.var_pop("filtered").alias("vf"), F.var_pop("residual").alias("vr"))
-    return v.select("series_id", F.expr("10 * log10(try_divide(vf, vr))").alias("snr_db"), F.expr("(1 - try_divide(vr, vo)) * 100").alias("dominance"))
+    """series_id, snr_db, dominance, variance_original, variance_filtered, variance_residual (population variances)."""
+    v = parts.groupBy("series_id").agg(*[F.var_pop(c).alias(f"variance_{c}") for c in ("original", "filtered", "residual")])
+    snr = F.expr("10 * log10(try_divide(variance_filtered, variance_residual))")
+    return v.select("series_id", snr.alias("snr_db"), F.expr("(1 - try_divide(variance_residual, variance_original)) * 100").alias("dominance"), *[c for c in v.columns if c != "series_id"])
+
+
+def filter_entropies(parts: DataFrame) -> DataFrame:
+    """series_id, entropy_original, entropy_filtered: sample entropies before and after a filter (needs ts)."""
+    each = [sample_entropy(parts.select("series_id", "ts", F.col(c).alias("value"))).withColumnRenamed("entropy", f"entropy_{c}") for c in ("original", "filtered")]
+    return each[0].join(each[1], "series_id")
 
 
 def drawdown(series: DataFrame) -> DataFrame:
@@ -120,26 +130,21 @@ def expanding_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
     return rows.withColumn("fold", F.when((size > 0) & (F.col("pos") >= first), F.floor((F.col("pos") - first) / size) + 1).cast("int"))
 
 
-def sample_entropy(series: DataFrame, last: int = 200, m: int = 2, ratio: float = 0.2) -> DataFrame:
+def sample_entropy(series: DataFrame, last: int | None = None, m: int = 2, ratio: float = 0.2) -> DataFrame:
     """series_id, entropy: -ln(A/B) of template matches within ratio population deviations; NULL without matches.
 
-    Quadratic in a series' length, so it is defined on each series' last rows (default 200).
+    All rows of a series count; being quadratic in its length, series are spread over more tasks than their bytes ask for.
+    last: use only each series' last rows.
     """
-    p = positioned(series).where(F.col("pos") >= F.col("n") - last)
-    w = by_series()
-    t = (
-        p.withColumn("r", ratio * F.stddev_pop("value").over(W.partitionBy("series_id"))).withColumn("k", F.row_number().over(w) - 1).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("series_id")))
-        .select("series_id", "k", "size", "r", *[F.lead("value", j).over(w).alias(f"v{j}") for j in range(m + 1)]).where(F.col("k") < F.col("size") - m)
-    )
-    a, b = t.alias("a"), t.alias("b")
-    near = lambda j: F.abs(F.col(f"a.v{j}") - F.col(f"b.v{j}")) <= F.col("a.r")
-    close = near(0)
-    for j in range(1, m):
-        close &= near(j)
-    pairs = a.join(b, (F.col("a.series_id") == F.col("b.series_id")) & (F.col("a.k") < F.col("b.k")) & close)
-    # Templates of length m+1 exist for one start less; the longer match of the last start is not counted.
-    counted = pairs.groupBy(F.col("a.series_id").alias("series_id")).agg(F.count(F.lit(1)).alias("b_n"), F.count_if(near(m)).alias("a_n"))
-    return series.select("series_id").distinct().join(counted, "series_id", "left").select("series_id", F.when((F.col("a_n") > 0) & (F.col("b_n") > 0), -F.log(F.col("a_n") / F.col("b_n"))).alias("entropy"))
+    known = series.where("value is not null")
+    if last is not None:
+        known = positioned(series).where(F.col("pos") >= F.col("n") - last)
+
+    def one(_: str, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(regression.sample_entropy(rows["value"].to_numpy(float), m, ratio),)], columns=["entropy"])
+
+    found = per_series(spread(known.select("series_id", "ts", "value"), "series_id"), one, "entropy double")
+    return series.select("series_id").distinct().join(found, "series_id", "left").select("series_id", F.nanvl("entropy", F.lit(None).cast("double")).alias("entropy"))
 
 
 def hurst_slope(series: DataFrame, most: int = 20) -> DataFrame:

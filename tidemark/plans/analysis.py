@@ -161,7 +161,7 @@ pairs AS (SELECT * FROM (SELECT series_id, ts, b.v / nullif(lag(b.v) OVER w, 0)
 
 
 @R.query("ccm_score", f"""WITH {PAIRS}, rec AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS back FROM pairs),
-p AS (SELECT series_id, x, row_number() OVER w AS pos, lag(y, 2) OVER w AS v0, lag(y, 1) OVER w AS v1, y AS v2 FROM rec WHERE back <= 120 {W_}), q AS (SELECT * FROM p WHERE pos > 2),
+p AS (SELECT series_id, x, row_number() OVER w AS pos, lag(y, 2) OVER w AS v0, lag(y, 1) OVER w AS v1, y AS v2 FROM rec {W_}), q AS (SELECT * FROM p WHERE pos > 2),
 n AS (SELECT a.series_id, a.pos, a.x, b.x AS found, row_number() OVER (PARTITION BY a.series_id, a.pos ORDER BY (a.v0 - b.v0) ** 2 + (a.v1 - b.v1) ** 2 + (a.v2 - b.v2) ** 2, b.pos) AS rk FROM q a JOIN q b ON a.series_id = b.series_id AND a.pos <> b.pos),
 m AS (SELECT series_id, pos, any_value(x) AS x, avg(found) AS pr FROM n WHERE rk <= 4 GROUP BY 1, 2), s AS (SELECT series_id, count(*) AS points, corr(x, pr) AS c FROM m GROUP BY 1)
 SELECT series_id, points, round_even(CASE WHEN points + 2 >= 8 AND c > 0 THEN c ELSE 0 END, 5) AS score FROM s""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,6 +95,40 @@ def implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.withColumn("tbl", F.lit("quotes")).unionByName(fractions.withColumn("tbl", F.lit("series_profile")))
 
 
+def _p4_sql(name: str, source: str, ts: str, value: str, row_id: str, impossible: str, x: str, side: str, half: int, z: float, least: float, calm: float, widen: float, least_run: int) -> str:
+    """Impossible, spiking and stuck rows of one table by windows over whole sources."""
+    return f"""
+{name}_all AS (SELECT {source} AS s, epoch_us({ts}) AS t, {value} + 0.0 AS v, {row_id} AS id FROM {name} WHERE {value} IS NOT NULL AND NOT isnan({value})),
+{name}_one AS (SELECT *, {x} AS x, row_number() OVER (PARTITION BY s ORDER BY t, v) AS i, count(*) OVER (PARTITION BY s) AS n
+  FROM (SELECT DISTINCT s, t, v FROM {name}_all WHERE NOT ({impossible}) AND s IS NOT NULL AND t IS NOT NULL)),
+{name}_dev AS (SELECT *, x - median(x) OVER (PARTITION BY s ORDER BY i ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS d, abs(x - lag(x) OVER (PARTITION BY s ORDER BY i)) AS step, lag(v) OVER (PARTITION BY s ORDER BY i) AS pv FROM {name}_one),
+{name}_bin AS (SELECT s, CASE WHEN d = 0 THEN 0 ELSE 2 ** ((floor(log2(abs(d)) * 1024) + 0.5) / 1024) END AS size, count(*) AS c FROM {name}_dev GROUP BY 1, 2),
+{name}_cum AS (SELECT *, sum(c) OVER (PARTITION BY s ORDER BY size) AS upto, sum(c) OVER (PARTITION BY s) AS n FROM {name}_bin),
+{name}_mad AS (SELECT s, 1.4826 * min(size) FILTER (WHERE 2 * upto >= n) AS mad, {widen!r} * sum(c * size) FILTER (WHERE upto - c < {calm} * n) / sum(c) FILTER (WHERE upto - c < {calm} * n) AS calm FROM {name}_cum GROUP BY 1),
+{name}_scale AS (SELECT s, greatest({least}, coalesce(0.3 * (SELECT min(step) FROM {name}_dev e WHERE e.s = m.s AND step > 0), 0), CASE WHEN mad > 0 THEN mad ELSE calm END) AS scale FROM {name}_mad m),
+{name}_run AS (SELECT *, sum(CASE WHEN v IS DISTINCT FROM pv THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY i) AS run FROM {name}_dev),
+{name}_runs AS (SELECT s, run, any_value(v) AS v, min(i) AS first, count(*) AS len, any_value(n) AS n FROM {name}_run GROUP BY 1, 2),
+{name}_vals AS (SELECT s, v, any_value(n) AS n, sum(len) AS often, count(*) AS r1, count(*) FILTER (WHERE len >= 2) AS r2, count(*) FILTER (WHERE len >= 3) AS r3 FROM {name}_runs GROUP BY 1, 2),
+{name}_sums AS (SELECT s, coalesce(sum(r1) FILTER (WHERE often <= 0.3 * n), 0) AS r1, coalesce(sum(r2) FILTER (WHERE often <= 0.3 * n), 0) AS r2, coalesce(sum(r3) FILTER (WHERE often <= 0.3 * n), 0) AS r3 FROM {name}_vals GROUP BY 1),
+{name}_rate AS (SELECT s, greatest(0.01, r2 / greatest(1, r1), (r3 + 10 * r2 / greatest(1, r1)) / (r2 + 10)) AS p FROM {name}_sums),
+{name}_long AS (SELECT r.s, run, first, len, r.n, least(0.98, greatest(p, (often - len) / greatest(1, r.n - len))) AS p FROM {name}_runs r JOIN {name}_rate USING (s) JOIN {name}_vals w ON w.s = r.s AND w.v = r.v WHERE len >= {least_run}),
+{name}_stuck AS (SELECT * FROM {name}_long WHERE len >= 2.3 * ln(greatest(2.0, n * (1 - p))) / ln(1 / p) AND len <= 0.9 * n),
+{name}_flags AS (
+  SELECT s, t, v FROM {name}_dev JOIN {name}_scale USING (s) WHERE {side} > {z} * scale AND {side} > 0
+  UNION SELECT r.s, r.t, r.v FROM {name}_run r JOIN {name}_stuck k ON k.s = r.s AND k.run = r.run WHERE r.i > k.first),
+{name}_found AS (SELECT id FROM {name}_all WHERE {impossible} UNION SELECT id FROM {name}_all JOIN {name}_flags USING (s, t, v))"""
+
+
+#: Mean absolute deviation to deviation, and the factor for a mean over the calmest 80 % of normal deviations.
+P4_FOUND_SQL = (
+    "WITH"
+    + _p4_sql("quotes", "symbol", "ts", "close", "reading_id", "v <= 0 OR isinf(v)", "ln(v)", "abs(d)", 7, 12.5, 0.0, 0.98, 1.2533, 6)
+    + ","
+    + _p4_sql("series_profile", "symbol", "profiled_at", "outlier_fraction", "profile_id", "v < 0 OR v > 1 OR isinf(v)", "v", "d", 30, 9.7, 0.002, 0.8, 1.2533 * 0.8 / (1 - math.exp(-(1.2815515655446004**2) / 2)), 5)
+    + " SELECT 'quotes' AS tbl, id AS row_id FROM quotes_found UNION ALL SELECT 'series_profile', id FROM series_profile_found"
+)
+
+
 def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every flag with its reason."""
     return implausible(spark, sf_dir).select("tbl", "row_id", F.col("source").alias("symbol"), "kind", F.round("score", 3).alias("score"))
@@ -106,7 +142,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regular series of every window."""
     return regular_grid(table(spark, sf_dir, "quotes"), table(spark, sf_dir, "feed_windows")).select(
-        F.col("window").alias("window_id"), F.col("entity").alias("symbol"), "slot_epoch", "n_readings", F.bround("coverage", 6).alias("coverage"), F.col("held").alias("held_close"), "status",
+        F.col("window").alias("window_id"), F.col("entity").alias("symbol"), "slot_epoch", "n_readings", F.bround("average", 6).alias("average"), F.bround("coverage", 6).alias("coverage"), F.col("held").alias("held_close"), "status",
     )
 
 
@@ -131,12 +167,16 @@ per_slot AS (SELECT window_id, i, count(*) AS n, arg_max(close, (t, coalesce(arr
 first_t AS (SELECT window_id, min(t) AS t0 FROM q GROUP BY 1),
 filled AS (
   SELECT window_id, symbol, s, e, g, i, coalesce(n, 0) AS n_readings, last_value(last_close IGNORE NULLS) OVER (PARTITION BY window_id ORDER BY i) AS held
-  FROM slots LEFT JOIN per_slot USING (window_id, i))
+  FROM slots LEFT JOIN per_slot USING (window_id, i)),
+steps AS (SELECT window_id, s, g, t, close AS v, lead(t, 1, e) OVER (PARTITION BY window_id ORDER BY t, coalesce(arrived_at, TIMESTAMP '0001-01-01'), reading_id) AS stop FROM q),
+parts AS (SELECT *, unnest(generate_series((t - s) // g, (greatest(stop - 1, t) - s) // g)) AS i FROM steps),
+held_us AS (SELECT window_id, i, v, greatest(0, least(stop, s + (i + 1) * g) - greatest(t, s + i * g)) AS us FROM parts),
+means AS (SELECT window_id, i, sum(v * us) FILTER (WHERE us > 0) / nullif(sum(us), 0) AS average FROM held_us GROUP BY 1, 2)
 SELECT window_id, symbol, (s + i * g) // 1000000 AS slot_epoch, n_readings,
   round_even(greatest(0, least(e, s + (i + 1) * g) - greatest(s + i * g, coalesce(t0, e)))::DOUBLE / (least(e, s + (i + 1) * g) - (s + i * g)), 6) AS coverage,
-  held AS held_close, CASE WHEN n_readings > 0 THEN 'observed' WHEN held IS NOT NULL THEN 'filled' ELSE 'missing' END AS status
-FROM filled LEFT JOIN first_t USING (window_id)
+  round_even(average, 6) AS average, held AS held_close, CASE WHEN n_readings > 0 THEN 'observed' WHEN held IS NOT NULL THEN 'filled' ELSE 'missing' END AS status
+FROM filled LEFT JOIN first_t USING (window_id) LEFT JOIN means USING (window_id, i)
 """
 
 QUERIES = {"p1_found": p1_found, "p1_rolling_totals": p1_rolling_totals, "p2_found": p2_found, "p2_filled": p2_filled, "p4_found": p4_found, "p4_flags": p4_flags, "p5_found": p5_found, "p5_grid": p5_grid}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p1_rolling_totals": P1_ALL_SQL, "p2_found": P2_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p1_rolling_totals": P1_ALL_SQL, "p2_found": P2_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p5_found": P5_FOUND_SQL, "p5_grid": P5_GRID_SQL}

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import by_series, log_return, quarter_end
 from tidemark.model import table
-from tidemark.operators.fracdiff import ffd_weights
 from tidemark.operators import align, backtest, causality, diagnostics, estimators, ordered, pipeline, regimes as regime_ops, report
 from tidemark.plans.analysis import ORIGINS, START, END, price_volume
 from tidemark.plans.base import CLOSES, NUDGE, PANEL, PANEL_NAMES, REGIMES, Registry, closes, panel_series, regimes, shown
+from tidemark.session import cut_lineage
 from tidemark.sources import catalog
 from tidemark.streaming import windows
 
@@ -47,8 +47,9 @@ def sarima_grid(spark, sf_dir):
 
 @R.query("two_stage_filter")
 def two_stage_filter(spark, sf_dir):
-    """M5, M6: filtered series with its metrics."""
-    return shown(ordered.filter_metrics(estimators.two_stage_filter(closes(spark, sf_dir), 7)))
+    """M5, M6: filtered series with its metrics and the entropies before and after."""
+    parts = cut_lineage(estimators.two_stage_filter(closes(spark, sf_dir), 7))
+    return shown(ordered.filter_metrics(parts).join(ordered.filter_entropies(parts), "series_id"))
 
 
 H, Q = 1.0, 0.1
@@ -208,7 +209,8 @@ def regimes_of_new_rows(spark, sf_dir):
     return shown(new.select("series_id", "ts", F.element_at("p", -1).alias("wildest")))
 
 
-@R.query("ffd_weights_sql", "SELECT CAST(place AS INTEGER) AS place, round_even(weight, 6) AS weight FROM (VALUES " + ", ".join(f"({i}, {w!r}::DOUBLE)" for i, w in enumerate(ffd_weights(0.4, 1e-2))) + ") t(place, weight)")
+@R.query("ffd_weights_sql", """WITH RECURSIVE w(k, v) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT k + 1, -v * (0.4::DOUBLE - k) / (k + 1) FROM w WHERE abs(v * (0.4::DOUBLE - k) / (k + 1)) >= 0.01)
+SELECT CAST((SELECT max(k) FROM w) - k AS INTEGER) AS place, round_even(v, 6) AS weight FROM w""")
 def ffd_weights_sql(spark, sf_dir):
     """W1 as a table function in SQL text."""
     from tidemark.functions.registered import register_functions
@@ -233,6 +235,18 @@ def baseline_check(spark, sf_dir):
     return shown(diagnostics.baseline_check(diagnostics.residual_rows(_forecasts(spark, sf_dir), ["mean3", "drift"])), 5)
 
 
+@R.query("horizon_filter", f"""WITH {CLOSES}, f AS (SELECT series_id, value AS actual, lag(value, 2) OVER w AS predicted FROM closes {W_})
+SELECT series_id, CAST(2 AS INTEGER) AS horizon_step, count(predicted) AS n, round_even(avg(abs(actual - predicted)), 5) AS mae FROM f GROUP BY 1""")
+def horizon_filter(spark, sf_dir):
+    """Forecasts of four horizons, of which one is looked at."""
+    w = by_series()
+    lagged = closes(spark, sf_dir).select("series_id", "ts", F.col("value").alias("actual"), *[F.lag("value", k).over(w).alias(f"p{k}") for k in range(1, 5)])
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("horizon_step"), F.col(f"p{k}").alias("predicted")) for k in range(1, 5)]))
+    frame = lagged.select("series_id", "ts", "actual", steps.alias("f")).select("series_id", "ts", "actual", "f.*")
+    at = diagnostics.at_horizon(frame, 2)
+    return shown(at.groupBy("series_id", "horizon_step").agg(F.count("predicted").alias("n"), F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae")), 5)
+
+
 @R.query("forensic_report")
 def forensic_report(spark, sf_dir):
     """All tests of every model."""
@@ -292,11 +306,15 @@ def pipeline_advantage(spark, sf_dir):
 
 @R.query("analyze_report")
 def analyze_report(spark, sf_dir):
-    """The whole analysis of every series, as Markdown."""
+    """The whole analysis of every series, as Markdown, with the four checks of its residuals and what its volume is to it."""
     chosen = _chosen(spark, sf_dir)
     last = pipeline.forecast_chosen(closes(spark, sf_dir), chosen).where("step = 7").select("series_id", "price", "forecast", "lower", "upper")
-    facts = chosen.join(last, "series_id").withColumn("passed", F.lit(None).cast("int")).withColumn("tests", F.lit(None).cast("int"))
-    return report.markdown(report.with_report(facts))
+    residuals = estimators.kalman(closes(spark, sf_dir), "local level").where("component = 'residual'").select("series_id", "ts", "value")
+    checks = diagnostics.pipeline_check(residuals)
+    ok = sum((F.col(c).cast("int") for c in ("centred", "noise", "normal", "finite")), F.lit(0))
+    facts = chosen.join(last, "series_id").join(checks.select("series_id", ok.alias("passed"), F.lit(4).alias("tests")), "series_id", "left")
+    cause = causality.causal_class(estimators.full_causality(price_volume(spark, sf_dir))).select("series_id", F.col("class").alias("volume_is"))
+    return report.markdown(report.with_report(facts)).join(cause, "series_id", "left")
 
 
 LAST = f"""WITH {ORIGINS}, {REGIMES}, lastl AS (SELECT series_id, arg_max(label, ts) AS regime FROM labels GROUP BY 1), lo AS (SELECT series_id, max(origin) AS origin FROM fc GROUP BY 1),

@@ -29,7 +29,8 @@ def ljung_box_q(spark, sf_dir):
     return shown(ordered.ljung_box(ordered.autocorrelation(closes(spark, sf_dir), 10), 10).drop("p"), 4)
 
 
-@R.query("ljung_box_p")
+@R.query("ljung_box_p", f"""WITH {ACF}, q AS (SELECT series_id, n, 10 AS m, any_value(n * (n + 2)) * sum(acf * acf / (n - lag)) AS q FROM acf WHERE lag BETWEEN 1 AND 10 GROUP BY 1, 2)
+SELECT series_id, n, CAST(m AS INTEGER) AS m, round_even(q, 6) AS q, round_even(exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24), 6) AS p FROM q""")
 def ljung_box_p(spark, sf_dir):
     """Its p-value, from the chi-square tail."""
     return shown(ordered.ljung_box(ordered.autocorrelation(closes(spark, sf_dir), 10), 10))
@@ -63,7 +64,8 @@ def should_filter(spark, sf_dir):
 
 
 @R.query("filter_metrics", f"""WITH {CLOSES}, p AS (SELECT series_id, value AS o, avg(value) OVER f AS flt, value - avg(value) OVER f AS res FROM closes WINDOW f AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-SELECT series_id, round_even(10 * log10(var_pop(flt) / nullif(var_pop(res), 0)), 5) AS snr_db, round_even((1 - var_pop(res) / nullif(var_pop(o), 0)) * 100, 5) AS dominance FROM p GROUP BY 1""")
+SELECT series_id, round_even(10 * log10(var_pop(flt) / nullif(var_pop(res), 0)), 5) AS snr_db, round_even((1 - var_pop(res) / nullif(var_pop(o), 0)) * 100, 5) AS dominance,
+  round_even(var_pop(o), 5) AS variance_original, round_even(var_pop(flt), 5) AS variance_filtered, round_even(var_pop(res), 5) AS variance_residual FROM p GROUP BY 1""")
 def filter_metrics(spark, sf_dir):
     """M6: signal-to-noise ratio and dominance of a moving average."""
     smooth = F.avg("value").over(by_series().rowsBetween(-4, 0))
@@ -122,14 +124,14 @@ def ts_folds(spark, sf_dir):
     return f.groupBy("series_id", "fold").agg(F.count(F.lit(1)).alias("rows"), F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"))
 
 
-@R.query("sample_entropy_short", f"""WITH {CLOSES}, p AS (SELECT series_id, value, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n, ts FROM closes {W_}),
-l AS (SELECT series_id, value, ts, row_number() OVER w - 1 AS k, count(*) OVER s AS size, 0.2 * stddev_pop(value) OVER s AS r FROM p WHERE pos >= n - 60 WINDOW w AS (PARTITION BY series_id ORDER BY ts), s AS (PARTITION BY series_id)),
+@R.query("sample_entropy", f"""WITH {CLOSES}, p AS (SELECT series_id, value, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n, ts FROM closes {W_}),
+l AS (SELECT series_id, value, ts, row_number() OVER w - 1 AS k, count(*) OVER s AS size, 0.2 * stddev_pop(value) OVER s AS r FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts), s AS (PARTITION BY series_id)),
 t AS (SELECT * FROM (SELECT series_id, k, size, r, value AS v0, lead(value, 1) OVER w AS v1, lead(value, 2) OVER w AS v2 FROM l {W_}) WHERE k < size - 2),
 m AS (SELECT a.series_id, count(*) AS b_n, count_if(abs(a.v2 - b.v2) <= a.r) AS a_n FROM t a JOIN t b ON a.series_id = b.series_id AND a.k < b.k AND abs(a.v0 - b.v0) <= a.r AND abs(a.v1 - b.v1) <= a.r GROUP BY 1)
 SELECT series_id, round_even(CASE WHEN a_n > 0 AND b_n > 0 THEN -ln(a_n::DOUBLE / b_n) END, 6) AS entropy FROM (SELECT DISTINCT series_id FROM closes) LEFT JOIN m USING (series_id)""")
-def sample_entropy_short(spark, sf_dir):
-    """Sample entropy of the last 60 rows, by a self-join of templates."""
-    return shown(ordered.sample_entropy(closes(spark, sf_dir), 60))
+def sample_entropy(spark, sf_dir):
+    """Sample entropy of every whole series."""
+    return shown(ordered.sample_entropy(closes(spark, sf_dir)))
 
 
 @R.query("hurst_like_slope", f"""WITH {CLOSES}, p AS (SELECT series_id, value, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM closes {W_}),

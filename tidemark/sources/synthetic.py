@@ -46,13 +46,20 @@ def coupled_maps(length: int = 500, rx: float = 3.8, ry: float = 3.5, coupling:
     return x, y
 
 
+# What each series of causal_system is to Y.
+CAUSES = {"X1": "indirect cause", "X2": "direct linear cause", "X3": "direct nonlinear cause", "X4": "noise"}
+
+
 def causal_system(length: int = 200, seed: int = 42) -> dict[str, np.ndarray]:
-    """A nonlinear driver, a linear one, a wave and noise (X1 to X4), and Y made of the first two; all standardised."""
+    """X1 (a chaotic map), X2 and X3 (driven by X1, linearly and by a sine), X4 (noise) and Y (driven by X2 and the square of X3).
+
+    Every influence takes one step; what is true of the system is in CAUSES.
+    """
     rng = np.random.default_rng(seed)
-    driver = coupled_maps(length)[0]
-    linear = autoregression(length, 0.7, 1.0, seed + 1)
-    y = np.zeros(length)
+    shocks = rng.normal(0, 0.05, (length, 2))
+    state = np.zeros((length, 4))
+    state[0] = 0.1
     for i in range(1, length):
-        y[i] = 0.4 * y[i - 1] + 0.8 * driver[i - 1] * (1 - driver[i - 1]) + 0.3 * linear[i - 1] + 0.1 * rng.normal()
-    parts = {"X1": driver, "X2": linear, "X3": np.sin(np.arange(length) / 5), "X4": rng.normal(size=length), "Y": y}
-    return {k: (v - v.mean()) / (v.std() or 1.0) for k, v in parts.items()}
+        a, b, c, y = state[i - 1]
+        state[i] = min(1.0, max(0.0, 3.9 * a * (1 - a))), 0.8 * b + 0.5 * a + shocks[i, 0], 0.5 * c + 0.6 * np.sin(5 * a), 0.5 * y + 0.4 * b + 0.5 * c**2 + shocks[i, 1]
+    return {"X1": state[:, 0], "X2": state[:, 1], "X3": state[:, 2], "X4": rng.normal(size=length), "Y": state[:, 3]}
