@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -211,11 +210,14 @@ def _block(documents: DataFrame, items: DataFrame, doc_id: str, text: str, span:
     prefix = ranked.select("item", "place", "code")
     candidates = hits.join(prefix, "code").groupBy("spot", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
 
-    @F.pandas_udf("boolean")
-    def verified(ids: pd.Series, item_ids: pd.Series, shifts: pd.Series) -> pd.Series:
-        return pd.Series([aligned(np.asarray(t), np.asarray(i), np.asarray(s), span, rate) > 0 for t, i, s in zip(ids, item_ids, shifts, strict=True)], dtype=bool)
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in (2, 3, 4)]
+            good = [aligned(np.asarray(t), np.asarray(i), np.asarray(s), span, rate) > 0 for t, i, s in zip(*columns, strict=True)]
+            yield batch.select(["doc", "item"]).filter(pa.array(good, pa.bool_()))
 
-    # The pairs are few bytes but much work, so they are spread over a stated number of tasks, pair by pair.
+    # The pairs are few bytes but much work, so they are spread over a stated number of tasks, pair by pair. (A filter would be
+    # moved before that exchange.)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     pairs = candidates.join(near.select("spot", "doc", "ids"), "spot").join(item_words, "item").repartition(tasks, "spot", "item")
-    return pairs.where(verified("ids", "item_ids", "shifts")).select("doc", "item").distinct()
+    return pairs.select("doc", "item", "ids", "item_ids", "shifts").mapInArrow(verified, f"doc {kind_doc}, item {kind_item}").distinct()
