@@ -40,7 +40,7 @@ def event_runs(
     once = rows.groupBy("entity", "t", "spelling").agg(F.count(F.lit(1)).alias("copies"), *ties)
     keyed = once.withColumn("label", keys_of(F.col("spelling"), tuple(labels), tuple(fillers))).where("label is not null")
     at = keyed.groupBy("entity", "t").agg(F.max_by("label", F.struct(*[f"tie{i}" for i in range(len(tie_breaks))], "label")).alias("label"))
-    placed = numbered(at, at, "entity", "t", (), block_events).withColumn("block", F.expr(f"number div {block_events}"))
+    placed = numbered(at, rows, "entity", "t", (), block_events).withColumn("block", F.expr(f"number div {block_events}"))
     blocks = (
         placed.groupBy("entity", "block").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("seen"))
         .select("entity", "block", F.transform("seen", lambda x: x["t"]).alias("times"), F.transform("seen", lambda x: x["label"]).alias("names"))
